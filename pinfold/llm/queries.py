@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from pinfold.llm.encode import token_counts, token_ids
+from pinfold.llm.near_duplicates import duplicate_groups, duplicate_pairs
 from pinfold.llm.packing import containers
 from pinfold.session import table
 
 CAPACITY = 2048
 
 
+def _bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "chunk").select(F.concat("doc_id", F.lit("#"), F.col("ord").cast("string")).alias("id"), "body")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicate_pairs(_bodies(spark, sf), "body")
+
+
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicate_groups(_bodies(spark, sf), "body")
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_ids(table(spark, sf, "documents"))
 
@@ -22,7 +37,7 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p7_ids": p7_ids, "p8_containers": p8_containers}
 
 
 def oracle_sql() -> dict[str, str]:
