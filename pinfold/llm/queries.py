@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pinfold.llm.encode import token_counts, token_ids
+from pinfold.llm.garbled import repair
 from pinfold.llm.near_duplicates import duplicate_groups, duplicate_pairs
 from pinfold.llm.packing import containers
 from pinfold.session import table
@@ -36,8 +37,16 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return containers(token_counts(table(spark, sf, "documents"), ["doc_id"]), "doc_id", "n_tokens", CAPACITY)
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return repair(table(spark, sf, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return repair(table(spark, sf, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_restored": p9_restored}
 
 
 def oracle_sql() -> dict[str, str]:
