@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from pinfold.llm.bpe import REMEMBER, WIDTH, Vocabulary, key_hash, key_words, merge, vocabulary
 from pinfold.llm.encode import pieces
@@ -148,7 +148,7 @@ def path_counts(df: DataFrame, text: str, out: str, path: str | None = None) ->
         _TRIES[id(v)] = Trie(v.ranks)
     handle = spark.sparkContext.broadcast((v, _TRIES[id(v)]))  # as large as the vocabulary, under 10 MB
     rows = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = rows.drop("__text").schema.add(out, "bigint")
+    schema = rows.drop("__text").schema.add(out, T.LongType())
 
     def run(batches):
         value = handle.value
