@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Makes a function (session, data folder) -> DataFrame a named query, with SQL that gives the same rows if there is any."""
+
+    def keep(f: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"query {name} exists")
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _load() -> None:
+    import pinfold.queries as here
+
+    for m in pkgutil.iter_modules(here.__path__):
+        importlib.import_module(f"pinfold.queries.{m.name}")
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    _load()
+    return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    raise NotImplementedError
+    return queries()["search_batch"](spark, sf)
