@@ -164,6 +164,7 @@ def containers(items: DataFrame, key: str, size: str, capacity: int, group: int
         return pdf[["key", "piece", "start", "size", "container"]]
 
     kind = rest.schema["key"].dataType.simpleString()
-    packed = rest.groupBy("g").applyInPandas(one, f"key {kind}, piece int, start bigint, size bigint, container string")
+    # a number given here isn't merged away: the rows are small, the work on them isn't
+    packed = rest.repartition(max(1, math.ceil(groups / 4)), "g").groupBy("g").applyInPandas(one, f"key {kind}, piece int, start bigint, size bigint, container string")
     both = packed.unionByName(full)
     return both.select(F.col("key").alias(key), "piece", "start", F.col("size").alias(size), "container")
