@@ -131,7 +131,7 @@ def changes(
                         out.append(pd.DataFrame({"ordinal": which.astype(np.int64) + (block << BLOCK_BITS), "i": i, "change": what}))
         return pd.concat(out) if out else pd.DataFrame({"ordinal": [], "i": [], "change": []})
 
-    # a block holds at most 2^15 keys with their periods; explicit partitions, as the work per row is more than its bytes say
+    # a block holds at most 2^15 keys with their periods
     found = cells.groupBy("block").applyInPandas(compare, "ordinal bigint, i int, change string")
     named = found.join(every, "ordinal")
     ends = same(periods.select(*s, F.col("i").cast("int").alias("i"), F.col("p").alias("period_from")), periods.select(*s, (F.col("i") - 1).cast("int").alias("i"), F.col("p").alias("period_to")), [*s, "i"])
