@@ -43,7 +43,7 @@ def percent_ranks(df: DataFrame, group: list[str], value: str, name: str) -> Dat
     """
     v = F.col(value).cast("double")
     ok = v.isNotNull() & ~F.isnan(v)
-    keyed = df.withColumn("__v", F.when(ok, v + F.lit(0.0)))
+    keyed = materialize(df.withColumn("__v", F.when(ok, v + F.lit(0.0))), "percentiles")  # read three times
     counts = keyed.filter(F.col("__v").isNotNull()).groupBy(*group, "__v").agg(F.count("*").alias("__n"))
     placed = running_sum(counts, group, [F.col("__v")], "__n", "__below")
     total = counts.groupBy(*group).agg(F.sum("__n").alias("__all")) if group else counts.agg(F.sum("__n").alias("__all"))
