@@ -17,6 +17,7 @@ set up example examples way best
 BYTES_PER_TOKEN = 4
 
 WORD = r"[\p{L}\p{Nd}_]+"
+COMPOUND = r"_|\p{Ll}\p{Lu}|\p{Lu}\p{Lu}\p{Ll}|\p{L}\p{Nd}|\p{Nd}\p{L}"
 HUMP = r"_+|(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{L})(?=\p{Nd})|(?<=\p{Nd})(?=\p{L})"
 
 
@@ -31,18 +32,21 @@ def split_ident(c: Column) -> Column:
     return F.when((F.octet_length(c) >= 3) & (F.size(parts) > 1), F.transform(parts, F.lower))
 
 
-def first_by(a: Column, key) -> Column:
-    """The elements of an array whose key hasn't come before, in order."""
-    keys = F.transform(a, key)
-    return F.filter(a, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+def first_by(a: Column, key, kind: str = "string") -> Column:
+    """The elements of an array whose key hasn't come before, in order. Each key is worked out once."""
+    none = F.struct(F.array().cast("array<string>").alias("k"), F.array().cast(f"array<{kind}>").alias("x"))
+    pairs = F.transform(a, lambda x: F.struct(key(x).alias("k"), x.alias("x")))
+    add = lambda acc, p: F.when(F.array_contains(acc["k"], p["k"]), acc).otherwise(F.struct(F.array_append(acc["k"], p["k"]).alias("k"), F.array_append(acc["x"], p["x"]).alias("x")))
+    return F.aggregate(pairs, none, add, lambda acc: acc["x"])
 
 
 def expand(*texts: Column) -> Column:
     """The parts of every distinct compound identifier in the texts, one string; '' if there are none."""
-    all_tokens = F.flatten(F.array(*[F.coalesce(tokens(t), F.array().cast("array<string>")) for t in texts]))
-    compound = F.filter(all_tokens, lambda x: split_ident(x).isNotNull())
+    all_tokens = F.array_distinct(F.flatten(F.array(*[F.coalesce(tokens(t), F.array().cast("array<string>")) for t in texts])))
+    compound = F.filter(all_tokens, lambda x: x.rlike(COMPOUND) & (F.octet_length(x) >= 3))
     distinct = first_by(compound, F.lower)
-    return F.array_join(F.flatten(F.transform(distinct, split_ident)), " ")
+    parts = F.transform(distinct, lambda x: F.filter(F.split(x, HUMP), lambda y: y != ""))
+    return F.lower(F.array_join(F.flatten(F.filter(parts, lambda p: F.size(p) > 1)), " "))
 
 
 def query_tokens(c: Column) -> Column:
@@ -155,7 +159,7 @@ def fence_language(c: Column) -> Column:
 def non_english(c: Column) -> Column:
     """A tenth of the letters or more isn't ASCII."""
     letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    return (letters > 0) & (F.regexp_count(c, F.lit(r"[^\x00-\x7F&&\p{L}]")) * 10 >= letters)
+    return (letters > 0) & (F.regexp_count(c, F.lit(r"[\p{L}&&[^\x00-\x7F]]")) * 10 >= letters)
 
 
 def is_identifier(c: Column) -> Column:
