@@ -70,16 +70,11 @@ def merged_counts(stream: DataFrame, when: str, labels: list[str], value: str, w
 
 
 def token_bucket(stream: DataFrame, client: str, when: str, rate: float, burst: float) -> DataFrame:
-    """Requests as allowed or not, one bucket per client; a bucket that has been full for as long as it takes to fill is
-    forgotten, which changes nothing."""
+    """Requests as allowed or not, one bucket (two numbers) of state per client. There is no timeout by the clock: it would
+    keep a run over what is there from ever ending."""
     ship(stream.sparkSession)
     rows = stream.select(F.col(client).cast("string").alias("client"), "id", (F.unix_micros(F.col(when).cast("timestamp")) / 1e6).alias("at")).filter("client IS NOT NULL AND at IS NOT NULL")
-    idle = int(burst / rate * 1000) + 1
-
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         left, last = state.get if state.exists else (burst, None)
         pdf = pd.concat(list(frames)).sort_values(["at", "id"])
         ok, tokens = [], []
@@ -91,11 +86,10 @@ def token_bucket(stream: DataFrame, client: str, when: str, rate: float, burst:
             left -= 1 if ok[-1] else 0
             tokens.append(round(left, 6))
         state.update((left, last))
-        state.setTimeoutDuration(idle)
         yield pd.DataFrame({"client": pdf["client"], "id": pdf["id"], "allowed": ok, "tokens": tokens})
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.groupBy("client").applyInPandasWithState(step, f"client string, id {kind}, allowed boolean, tokens double", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("client").applyInPandasWithState(step, f"client string, id {kind}, allowed boolean, tokens double", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def orphans(stream: DataFrame, start: OrphanState, report: Callable[[OrphanState, int], None]) -> OrphanState:
