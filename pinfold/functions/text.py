@@ -97,8 +97,9 @@ def _accents() -> tuple[str, str]:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents or other marks."""
-    return F.translate(F.regexp_replace(F.lower(c), r"\p{M}+", ""), *_accents())
+    """Lower case without accents or other marks; ASCII texts have none, and skip the table."""
+    marked = F.translate(F.regexp_replace(F.lower(c), r"\p{M}+", ""), *_accents())
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(marked)
 
 
 def slug(c: Column) -> Column:
