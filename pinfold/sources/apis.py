@@ -239,7 +239,8 @@ def cpp_header(path: str, text: str) -> Iterator[Row]:
                             j = r
                         elif public:
                             yield r
-                    i = j
+                    i = start = j
+                    said = ""
                 else:
                     i = j
             elif t == "{":

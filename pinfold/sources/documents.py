@@ -236,7 +236,7 @@ def feed_items(feeds: DataFrame, body: str, host: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["guid", "topic", "post", "category", "title", "link", "published", "html"])
 
     items = feeds.select(body).mapInPandas(run, "guid string, topic bigint, post bigint, category string, title string, link string, published string, html string")
-    dated = items.withColumn("published", F.coalesce(F.try_to_timestamp("published", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("published")))
+    dated = items.withColumn("published", F.coalesce(F.try_to_timestamp(F.regexp_replace("published", "^[A-Za-z]{3}, *", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("published")))
     agree = F.regexp_extract("guid", r"-(?:topic|post)-(\d+)", 1).cast("bigint")
     ok = dated.filter(F.col("published").isNotNull() & (agree == F.col("topic")))
     from pyspark.sql import Window
