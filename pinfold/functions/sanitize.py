@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # What counts as hidden, in the order in which it is removed.
 COMMENT = r"(?s)<!--.*?-->"
@@ -63,12 +63,10 @@ SUSPECT = [
 ]
 
 
-@F.pandas_udf("string")
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
 def _cap(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else x.encode()[:MOST_BYTES].decode("utf-8", "ignore"))
 
@@ -82,12 +80,12 @@ def visible(c: Column) -> Column:
 
 def nfc(c: Column) -> Column:
     """Composed form; Spark has no expression for it, so it is one vectorized call."""
-    return _nfc(c)
+    return F.pandas_udf(_nfc, T.StringType())(c)
 
 
 def clean(c: Column) -> Column:
     """visible, composed, and at most MOST_BYTES bytes of it."""
-    return _cap(nfc(visible(c)))
+    return F.pandas_udf(_cap, T.StringType())(nfc(visible(c)))
 
 
 def suspect(c: Column) -> Column:
