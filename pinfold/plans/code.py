@@ -153,7 +153,7 @@ def arity(signature) -> tuple:
     """(least, most) arguments of a signature as columns; most is null for variable ones, both null if there are none."""
     inner = F.regexp_extract(signature, r"\((.*)\)", 1)
     flat = F.regexp_replace(F.regexp_replace(inner, r"<[^<>]*>", ""), r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}", "")
-    parts = F.filter(F.transform(F.split(flat, ","), F.trim), lambda x: (x != "") & ~x.isin("self", "/", "*"))
+    parts = F.filter(F.transform(F.split(flat, ","), lambda x: F.trim(x)), lambda x: (x != "") & ~x.isin("self", "/", "*"))
     varies = F.exists(parts, lambda x: x.contains("...") | x.startswith("*"))
     least = F.size(F.filter(parts, lambda x: ~x.contains("=") & ~x.contains("...") & ~x.startswith("*")))
     has = signature.contains("(")
