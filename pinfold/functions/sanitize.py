@@ -63,6 +63,43 @@ SUSPECT = [
 ]
 
 
+#: For each pattern the words of which a text must hold one for it to match; looking for them is far cheaper.
+TRIGGERS = [
+    ("ignore", "disregard", "forget", "override", "bypass"),
+    ("outdated", "obsolete", "void", "invalid", "cancel"),
+    ("only", "override", "replace", "supersede"),
+    ("set aside", "put aside", "drop", "discard", "forget"),
+    ("real",),
+    ("you are", "you're", "act as", "pretend to be", "from now on"),
+    ("act as", "pretend to be", "you are now", "roleplay as"),
+    ("as an ai",),
+    ("act as", "pretend to be", "you are now", "operating as"),
+    ("mode",),
+    ("claude", "gpt", "copilot", "gemini", "cursor", "codex", "llm", "ai", "assistant"),
+    ("note", "message", "instruction", "attention", "reminder"),
+    ("if you are", "if you're"),
+    ("reader", "agent", "assistant", "eyes", "instruction", "prompt", "message"),
+    ("reading", "processing", "parsing", "summari"),
+    ("assistant", "agent", "model", "tool", "llm"),
+    ("must", "should", "need", "required"),
+    ("user", "silently"),
+    ("without",),
+    ("skip", "user"),
+    ("you have", "you've been", "you are", "the user has"),
+    ("confirmation", "override", "mode"),
+    ("override", "developer"),
+    ("prompt", "<", "["),
+    ("system", "assistant"),
+    ('"tool"', '"name"'),
+    ("curl", "wget", "iwr", "invoke-", "irm", "iex"),
+    ("decod", "base64", "hex", "atob"),
+    ("exfiltrate", "key", "token", "password", "credential"),
+    ("ssh", "id_", "aws", "netrc", "token"),
+    ("generat", "writ", "produc"),
+    ("önceki", "ignora", "ignoriere", "ignore", "ignorez", "ignorer", "忽略"),
+]
+
+
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
@@ -89,7 +126,11 @@ def clean(c: Column) -> Column:
 
 
 def suspect(c: Column) -> Column:
-    out = c.rlike(SUSPECT[0])
-    for p in SUSPECT[1:]:
-        out = out | c.rlike(p)
+    """Whether any pattern matches; false for null. A pattern is tried only where one of its words occurs."""
+    low, out = F.lower(c), F.lit(False)
+    for pattern, words in zip(SUSPECT, TRIGGERS, strict=True):
+        some = low.contains(words[0])
+        for w in words[1:]:
+            some = some | low.contains(w)
+        out = out | (some & c.rlike(pattern))
     return F.coalesce(out, F.lit(False))
