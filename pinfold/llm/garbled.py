@@ -3,7 +3,7 @@
 1. Statistics over the whole corpus: in how many texts each pair of adjacent characters occurs, one of them not ASCII,
    and in how many each single character. They fill tables of a fixed size, so what is broadcast has a fixed bound.
 2. Adjacent pairs of a text are scored by their mutual information; maximum-scoring segments of improbability are the
-   runs under suspicion.
+   runs under suspicion. Characters that are a UTF-8 sequence to a wrong decoder are so however often they occur.
 3. Only inside such runs inverse mappings are tried: the characters back to the bytes of a wrong encoding, and those
    bytes read as UTF-8 or as another single-byte encoding, up to three times over. A mapping holds if the text it gives
    is better supported by the corpus than what stands there.
@@ -232,6 +232,7 @@ class Repair:
         known = lambda c: c < 128 or c == 0xFEFF or model.singles[c if c < SINGLES else SINGLES // 2] >= model.known_from
         self.known = known
         self.single = [m for m in ({a: b for a, b in x.items() if known(b) and not chr(a).isspace()} for x in self.single) if m]
+        self.sequences = Sequences(self)
         self.found: dict[str, tuple[str, int]] = {}
         self.read: dict[str, str] = {}  # UTF-8 sequences, at most as many as there are characters
 
@@ -398,7 +399,52 @@ class Repair:
         return top, which
 
 
-def suspects(model: Model, raw: np.ndarray, offsets: np.ndarray, floor: float) -> dict[int, list[tuple[int, int]]]:
+class Sequences:
+    """Where characters are a UTF-8 sequence of a known character to one of the wrong decoders, however frequent it is."""
+
+    def __init__(self, fix: Repair):
+        self.known = fix.model.singles >= fix.model.known_from
+        self.known[:128] = False
+        self.known[0xFEFF] = True
+        #: For each length the decoders to which a character is a leading byte, and those to which it goes on; as bits.
+        self.lead, self.more = {k: np.zeros(1 << 16, np.uint32) for k in (2, 3, 4)}, np.zeros(1 << 16, np.uint32)
+        self.bytes = np.zeros((len(fix.back), 1 << 16), np.int32)
+        for d, m in enumerate(fix.back):
+            for c, b in list(m.items()):
+                if b > 0xFF or c > 0xFFFF:
+                    continue
+                self.bytes[d, c] = b
+                if b < 0xC0:
+                    self.more[c] |= np.uint32(1 << d)
+                elif 0xC2 <= b < 0xF5:
+                    self.lead[2 if b < 0xE0 else 3 if b < 0xF0 else 4][c] |= np.uint32(1 << d)
+
+    def pairs(self, cp: np.ndarray) -> np.ndarray:
+        """Whether each character and the next belong to such a sequence."""
+        out = np.zeros(len(cp), bool)
+        c = np.where(cp > 0xFFFF, 0, cp)
+        high = np.flatnonzero(c > 127)
+        for k, lead in self.lead.items():
+            at = high[(lead[c[high]] != 0) & (high < len(c) - k + 1)]
+            who = lead[c[at]]
+            for i in range(1, k):
+                who = who & self.more[c[at + i]]
+                at, who = at[who != 0], who[who != 0]
+            for d in range(len(self.bytes)):
+                own = at[who >> np.uint32(d) & np.uint32(1) == 1]
+                if not len(own):
+                    continue
+                got = self.bytes[d, c[own]] & (0x7F >> k)
+                for i in range(1, k):
+                    got = got << 6 | self.bytes[d, c[own + i]] & 0x3F
+                right = (got >= {2: 0x80, 3: 0x800, 4: 0x10000}[k]) & (got < len(self.known)) & ((got < 0xD800) | (got > 0xDFFF))
+                own = own[right & self.known[np.where(right, got, 0)]]
+                for i in range(k - 1):
+                    out[own + i] = True
+        return out
+
+
+def suspects(model: Model, raw: np.ndarray, offsets: np.ndarray, floor: float, sequences: Sequences | None = None) -> dict[int, list[tuple[int, int]]]:
     """Runs under suspicion of each text: ranges of its characters, without ASCII at either end."""
     cp, owner = text_marks(raw, offsets)
     folded = fold(cp)
@@ -407,6 +453,8 @@ def suspects(model: Model, raw: np.ndarray, offsets: np.ndarray, floor: float) -
         return {}
     info, n = model.scores(folded[two], folded[two + 1])
     bad = np.where(n <= model.doubt_to, np.maximum(floor - info, Repair.RARE), floor - info)
+    if sequences is not None:  # no frequency exempts these
+        bad = np.where(sequences.pairs(cp)[two], np.maximum(bad, Repair.RARE), bad)
     text = owner[np.where(cp[two] > 127, two, two + 1)]
     worth = np.unique(text[bad > 0])
     begin = np.searchsorted(owner, np.arange(len(offsets) - 1))
@@ -461,7 +509,7 @@ def repair(df: DataFrame, key: str, text: str, out: str = "restored") -> DataFra
 def restored(fix: Repair, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str]]:
     """(text, restored) of the garbled ones among texts that lie one after another in ``raw``."""
     found = []
-    runs = suspects(fix.model, raw, offsets, fix.FLOOR)
+    runs = suspects(fix.model, raw, offsets, fix.FLOOR, fix.sequences)
     marks = raw.tobytes()
     for t in range(len(offsets) - 1):
         piece = marks[offsets[t] : offsets[t + 1]]

@@ -302,6 +302,18 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert garbled.repair(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_a_frequent_garble_is_found(spark):
+    rows = [(i, f"plain words, number {i}") for i in range(1_700)]
+    rows += [(5_000 + i, f"about 2{i} °C within {i} µs, expect ±3{i} of it") for i in range(60)]
+    bad = {9_000 + i: (f"heat it up to {i} Â°C", f"heat it up to {i} °C") for i in range(30)}
+    bad |= {9_100 + i: (f"after {i} Âµs more", f"after {i} µs more") for i in range(30)}
+    bad |= {9_200 + i: (f"expect Â±3{i} here", f"expect ±3{i} here") for i in range(30)}
+    df = spark.createDataFrame(rows + [(i, t) for i, (t, _) in bad.items()], "doc_id bigint, text string")
+    assert len(bad) / 3 > 0.005 * df.count()  # more texts than those up to which a pair is looked at anyway
+    got = {r.doc_id: r.restored for r in garbled.repair(df, "doc_id", "text").collect()}
+    assert got == {i: want for i, (_, want) in bad.items()}
+
+
 def test_segments_are_the_maximal_ones():
     at = np.arange(9)
     score = np.array([-1, 2, -1, 3, -5, 2, -1, 1, 4.0])
