@@ -17,6 +17,7 @@ from __future__ import annotations
 import codecs
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -289,6 +290,10 @@ class Repair:
     def common(self, run: str) -> bool:
         return all(self.model.pair(a, b)[1] > self.model.doubt_to for a, b in zip(run, run[1:]) if a > "\x7f" or b > "\x7f")
 
+    def worth(self, a: str, b: str) -> float:
+        info, n = self.model.pair(a, b)
+        return min(info, 0.0) + 0.25 * (math.log1p(n) - math.log1p(self.model.texts))
+
     def value(self, run: str) -> float:
         """What the corpus says of a run: low mutual information, support, and no control characters.
 
@@ -297,8 +302,7 @@ class Repair:
         total = 0.0
         for a, b in zip(run, run[1:]):
             if a > "\x7f" or b > "\x7f":
-                info, n = self.model.pair(a, b)
-                total += min(info, 0.0) + 0.25 * (math.log1p(n) - math.log1p(self.model.texts))
+                total += self.worth(a, b)
         return total - 2.0 * sum(1 for c in run if "\x80" <= c <= "\x9f")
 
     def single_holds(self, run: str, new: str) -> bool:
@@ -338,8 +342,17 @@ class Repair:
             part = {c: m[c] for c in own if c in m}
             if part not in tried and any(s.items() <= part.items() for s in sure):
                 tried.append(part)
-        some = runs[:40]
-        return max(tried, key=lambda m: sum(self.value(r[0] + r[1:-1].translate(m) + r[-1]) for r in some), default={})
+        # the value of a run is a sum over its pairs, so those of all runs are counted first; the ends of a run are context
+        pairs = Counter((a, b, i > 0, i + 2 < len(r)) for r in runs for i, (a, b) in enumerate(zip(r, r[1:])) if a > "\x7f" or b > "\x7f")
+        controls = Counter(c for r in runs for c in r[1:-1] if "\x80" <= c <= "\x9f")
+
+        def score(m: dict[int, int]) -> float:
+            total = -2.0 * sum(n for c, n in controls.items() if ord(c) not in m)
+            for (a, b, left, right), n in pairs.items():
+                total += n * self.worth(a.translate(m) if left else a, b.translate(m) if right else b)
+            return total
+
+        return max(tried, key=score, default={})
 
     def between(self, s: str, a: int, b: int, mapping: dict[int, int]) -> str:
         """A stretch of text with those clusters of characters beyond ASCII mapped that the corpus supports better so."""

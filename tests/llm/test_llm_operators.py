@@ -314,6 +314,18 @@ def test_a_frequent_garble_is_found(spark):
     assert got == {i: want for i, (_, want) in bad.items()}
 
 
+def test_one_mapping_is_chosen_over_all_runs():
+    pairs, singles = np.zeros(garbled.PAIRS, np.int32), np.zeros(garbled.SINGLES, np.int32)
+    a, b = (np.array([ord(c) for c in x]) for x in (" é ğ ", "é ğ x"))
+    pairs[garbled.pair_slot(a, b)] = 100
+    singles[[ord(c) for c in " éğ"]] = 100
+    fix = garbled.Repair(garbled.Model(pairs, singles, 1_000))
+    at = [k for k, m in enumerate(fix.single) if m.get(ord("Θ")) == ord("é")]  # é in cp1252, read as cp437
+    runs = [" Θ "] * 60 + [" ≡ "]  # the second is ğ only in some of the encodings that have é there
+    got = fix.whole(runs, set(at))
+    assert got[ord("Θ")] == ord("é") and got[ord("≡")] == ord("ğ")
+
+
 def test_segments_are_the_maximal_ones():
     at = np.arange(9)
     score = np.array([-1, 2, -1, 3, -5, 2, -1, 1, 4.0])
