@@ -225,9 +225,12 @@ class Repair:
     MOST = 0.9
     #: Readings that are read once more.
     FRONT = 3
+    #: Pairs that tell a group's mix-up, and how far below the middle the shares of their garbled forms may
+    #: lie.
+    PROFILE, EVEN = 12, 2.5
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, model: Model, mixed: dict[int, float] | None = None):
+        self.model, self.mixed = model, mixed or {}
         back, self.single = mappings()
         self.back = [_Back(m) for m in back]
         known = lambda c: c < 128 or c == 0xFEFF or model.singles[c if c < SINGLES else SINGLES // 2] >= model.known_from
@@ -305,13 +308,30 @@ class Repair:
                 total += self.worth(a, b)
         return total - 2.0 * sum(1 for c in run if "\x80" <= c <= "\x9f")
 
-    def single_holds(self, run: str, new: str) -> bool:
-        """Whether another single-byte reading is better supported at every character that it changes."""
+    def without(self, old: tuple[float, int], now: int, share: float) -> tuple[float, int]:
+        """(mutual information, texts) of a pair without the texts that a group's mix-up explains."""
+        n = max(old[1] - math.ceil(share * now), 0)
+        return old[0] + math.log((n + 1) / (old[1] + 1)), n
+
+    def fits(self, s: str, k: int) -> bool:
+        """Whether all of a text reads well with a group's mapping; letters that are right do so only here and there."""
+        m = self.single[k]
+        places = [(a, b) for a, b in zip(" " + s, s + " ") if ord(a) in m or ord(b) in m]
+        known = sum(self.model.pair(a.translate(m), b.translate(m))[1] >= self.model.known_from for a, b in places)
+        return known >= self.MOST * len(places)
+
+    def single_holds(self, run: str, new: str, share: float = 0.0) -> bool:
+        """Whether another single-byte reading is better supported at every character that it changes.
+
+        With the share of a group's mix-up, the texts it explains don't count for what stands there.
+        """
         pair = self.model.pair
         changed = [i for i, (a, b) in enumerate(zip(run, new)) if a != b]
         places = sorted({i for c in changed for i in (c - 1, c)})
         old = {i: pair(run[i], run[i + 1]) for i in places}
         now = {i: pair(new[i], new[i + 1]) for i in places}
+        if share:
+            old = {i: self.without(old[i], now[i][1], share) for i in places}
         known = [i for i in places if now[i][1] >= self.model.known_from]
         if len(known) < len(places) and (len(changed) < self.RUN or len(known) < self.MOST * len(places)):
             return False
@@ -402,16 +422,50 @@ class Repair:
                 return double, -1
         tried, which, top_value = set(), -1, start
         own = "".join(sorted({c for c in run[1:-1] if c > "\x7f"}))
-        for k, m in enumerate(self.single):
+        for k in sorted(range(len(self.single)), key=lambda k: k not in self.mixed):
+            m = self.single[k]
             y = own.translate(m)
             if y != own and y not in tried:
                 tried.add(y)
                 x = run[0] + run[1:-1].translate(m) + run[-1]
-                if self.single_holds(run, x) and (v := self.value(x)) > top_value:
+                if self.single_holds(run, x, self.mixed.get(k, 0.0)) and (v := self.value(x)) > top_value:
                     top, top_value, which = x, v, k
         return top, which
 
 
+def mixups(model: Model) -> dict[int, float]:
+    """The single-byte mappings that a whole group of texts needs, by number: how many texts with a garbled pair there
+    are at most for each with the restored one.
+
+    Where one source was decoded with the wrong code page, its pairs are frequent, but each occurs about as often beside
+    the restored one as any other does. Letters that are right only meet some of the same neighbours. Which of two
+    groups is the garbled one can't be seen from pairs; it is taken to be the smaller.
+    """
+    fix, found = Repair(model), {}
+    ascii_ = np.array([c for c in range(32, 127) if not 49 <= c <= 57])
+    for k, m in enumerate(fix.single):
+        c = np.array(list(m))
+        t = np.array(list(m.values()))
+        often = model.singles[char_slot(c)] > model.rare_to
+        if not often.any():
+            continue
+        x, y = np.concatenate([c, ascii_]), np.concatenate([t, ascii_])
+        own = np.concatenate([often, np.zeros(len(ascii_), bool)])
+        i, j = np.nonzero(own[:, None] | own[None, :])
+        now = model.pairs[pair_slot(y[i], y[j])].astype(float)
+        i, j, now = (z[now > model.rare_to] for z in (i, j, now))
+        if len(now) < Repair.PROFILE:
+            continue
+        old = model.pairs[pair_slot(x[i], x[j])].astype(float)
+        enough = now * (old.sum() / now.sum()) >= 5  # else chance decides whether the pair is there
+        if enough.sum() < Repair.PROFILE:
+            continue
+        low, mid, high = np.quantile(old[enough] / now[enough], (0.1, 0.5, 0.9))
+        if 0 < low and mid <= Repair.EVEN * low and mid < 1:  # upwards, letters that are right add to some pairs
+            found[k] = float(min(high, 2 * mid))
+    return found
+
+
 class Sequences:
     """Where characters are a UTF-8 sequence of a known character to one of the wrong decoders, however frequent it is."""
 
@@ -457,7 +511,7 @@ class Sequences:
         return out
 
 
-def suspects(model: Model, raw: np.ndarray, offsets: np.ndarray, floor: float, sequences: Sequences | None = None) -> dict[int, list[tuple[int, int]]]:
+def suspects(model: Model, raw: np.ndarray, offsets: np.ndarray, floor: float, fix: Repair | None = None) -> dict[int, list[tuple[int, int]]]:
     """Runs under suspicion of each text: ranges of its characters, without ASCII at either end."""
     cp, owner = text_marks(raw, offsets)
     folded = fold(cp)
@@ -466,8 +520,15 @@ def suspects(model: Model, raw: np.ndarray, offsets: np.ndarray, floor: float, s
         return {}
     info, n = model.scores(folded[two], folded[two + 1])
     bad = np.where(n <= model.doubt_to, np.maximum(floor - info, Repair.RARE), floor - info)
-    if sequences is not None:  # no frequency exempts these
-        bad = np.where(sequences.pairs(cp)[two], np.maximum(bad, Repair.RARE), bad)
+    if fix is not None:  # no frequency exempts these
+        odd = fix.sequences.pairs(cp)[two]
+        for k, share in fix.mixed.items():
+            to = np.arange(1 << 16)
+            to[list(fix.single[k])] = list(fix.single[k].values())
+            a, b = (np.where(folded[x] < 1 << 16, to[np.minimum(folded[x], 0xFFFF)], folded[x]) for x in (two, two + 1))
+            now = model.pairs[pair_slot(a, b)]
+            odd |= ((a != folded[two]) | (b != folded[two + 1])) & (now >= model.known_from) & (n - share * now <= model.doubt_to)
+        bad = np.where(odd, np.maximum(bad, Repair.RARE), bad)
     text = owner[np.where(cp[two] > 127, two, two + 1)]
     worth = np.unique(text[bad > 0])
     begin = np.searchsorted(owner, np.arange(len(offsets) - 1))
@@ -497,12 +558,14 @@ def repair(df: DataFrame, key: str, text: str, out: str = "restored") -> DataFra
     are left out; an empty table gives an empty table.
     """
     spark = df.sparkSession
-    handle = spark.sparkContext.broadcast(statistics(df, text))
+    counts = statistics(df, text)
+    handle = spark.sparkContext.broadcast((counts, mixups(Model(*counts))))
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).filter("t IS NOT NULL")
     kind = rows.schema["k"].dataType.simpleString()
 
     def run(batches):
-        fix = Repair(Model(*handle.value))
+        counts, mixed = handle.value
+        fix = Repair(Model(*counts), mixed)
         for batch in batches:
             raw, offsets = string_buffers(batch.column(1))
             where, what, lost = [], [], []
@@ -522,7 +585,7 @@ def repair(df: DataFrame, key: str, text: str, out: str = "restored") -> DataFra
 def restored(fix: Repair, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str]]:
     """(text, restored) of the garbled ones among texts that lie one after another in ``raw``."""
     found = []
-    runs = suspects(fix.model, raw, offsets, fix.FLOOR, fix.sequences)
+    runs = suspects(fix.model, raw, offsets, fix.FLOOR, fix)
     marks = raw.tobytes()
     for t in range(len(offsets) - 1):
         piece = marks[offsets[t] : offsets[t + 1]]
@@ -530,13 +593,17 @@ def restored(fix: Repair, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[in
         if t not in runs and not gone:
             continue
         s = piece.decode("utf-8")
-        cut, last, held = [], 0, set()
+        cut, last, held, fit = [], 0, set(), {}
         for a, b in runs.get(t, []):
             a, b = max(a, last), min(b, len(s))
             if a < b:
                 # a character of context on either side
                 run = (s[a - 1] if a else " ") + s[a:b] + (s[b] if b < len(s) else " ")
                 new, which = fix.best(run)
+                if which in fix.mixed and fit.setdefault(which, None) is None:
+                    fit[which] = fix.fits(s, which)
+                if not fit.get(which, True):
+                    new, which = run, -1
                 cut.append((a, b, run, new, which))
                 held.add(which)
                 last = b

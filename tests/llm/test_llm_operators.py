@@ -314,6 +314,19 @@ def test_a_frequent_garble_is_found(spark):
     assert got == {i: want for i, (_, want) in bad.items()}
 
 
+@pytest.mark.parametrize("lang, right, wrong", [("tr", "cp1254", "cp1252"), ("ru", "cp1251", "cp1252")])
+def test_a_source_with_the_wrong_code_page_is_found(spark, lang, right, wrong):
+    rng = random.Random(3)
+    words = next(t for x, t in CLEAN if x == lang).replace(".", "").split()
+    text = lambda i: " ".join(rng.sample(words, 12)) + f" {i}"
+    rows = list(enumerate(clean_corpus())) + [(2_000 + i, text(i)) for i in range(300)]
+    bad = {5_000 + i: text(i) for i in range(150)}
+    df = spark.createDataFrame(rows + [(i, spoil(t, right, wrong)) for i, t in bad.items()], "doc_id bigint, text string")
+    got = {r.doc_id: r.restored for r in garbled.repair(df, "doc_id", "text").collect()}
+    assert not set(got) - set(bad)  # Icelandic and the clean texts stay
+    assert len(got) >= 0.95 * len(bad) and sum(got[i] == bad[i] for i in got) >= 0.9 * len(got)
+
+
 def test_one_mapping_is_chosen_over_all_runs():
     pairs, singles = np.zeros(garbled.PAIRS, np.int32), np.zeros(garbled.SINGLES, np.int32)
     a, b = (np.array([ord(c) for c in x]) for x in (" é ğ ", "é ğ x"))
