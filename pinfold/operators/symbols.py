@@ -46,28 +46,29 @@ def lookup(queries: DataFrame, symbols: DataFrame, k: int = 8) -> DataFrame:
     return kept.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("kind", "name")
 
 
-def diff(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def diff(old: DataFrame, new: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(removed, added, mapped) of two sets of fqn: anti joins both ways, and where a removed type went.
 
     A type goes to the one added type of the same name in another package; of several, to the one whose package shares
-    the most trailing segments, at least one, alone. A member follows its type if it is there. Ties map nothing.
+    the most trailing segments, at least one, alone. A member follows its type if it is there. Ties map nothing. With
+    columns ``by``, which must not be null, each of their values is a diff of its own.
     """
-    o, n = old.select("fqn").distinct(), new.select("fqn").distinct()
-    removed, added = o.join(n, "fqn", "left_anti"), n.join(o, "fqn", "left_anti")
-    types = removed.filter(~F.col("fqn").contains("#")).select(F.col("fqn").alias("from_fqn"), N.type_name(F.col("fqn")).alias("t"), N.package_of(F.col("fqn")).alias("p")).filter("t <> ''")
-    cands = added.filter(~F.col("fqn").contains("#")).select(F.col("fqn").alias("to_fqn"), N.type_name(F.col("fqn")).alias("t"), N.package_of(F.col("fqn")).alias("q"))
+    o, n = old.select(*by, "fqn").distinct(), new.select(*by, "fqn").distinct()
+    removed, added = o.join(n, [*by, "fqn"], "left_anti"), n.join(o, [*by, "fqn"], "left_anti")
+    types = removed.filter(~F.col("fqn").contains("#")).select(*by, F.col("fqn").alias("from_fqn"), N.type_name(F.col("fqn")).alias("t"), N.package_of(F.col("fqn")).alias("p")).filter("t <> ''")
+    cands = added.filter(~F.col("fqn").contains("#")).select(*by, F.col("fqn").alias("to_fqn"), N.type_name(F.col("fqn")).alias("t"), N.package_of(F.col("fqn")).alias("q"))
     a, b = F.reverse(F.split("p", r"\.|::")), F.reverse(F.split("q", r"\.|::"))
     same = F.zip_with(a, b, lambda x, y: x == y)
     shared = F.coalesce(F.array_position(F.transform(same, lambda x: F.coalesce(x, F.lit(False))), F.lit(False)).cast("int") - 1, F.lit(0))
     shared = F.when(shared < 0, F.size(a)).otherwise(shared)
-    pairs = types.join(cands, "t").withColumn("shared", shared)
-    w = Window.partitionBy("from_fqn")
+    pairs = types.join(cands, [*by, "t"]).withColumn("shared", shared)
+    w = Window.partitionBy(*by, "from_fqn")
     pairs = pairs.withColumns({"n": F.count("*").over(w), "best": F.max("shared").over(w)})
     pairs = pairs.withColumn("ties", F.sum((F.col("shared") == F.col("best")).cast("int")).over(w))
-    types_to = pairs.filter("n = 1 OR (shared = best AND best >= 1 AND ties = 1)").select("from_fqn", "to_fqn")
-    members = removed.filter(F.col("fqn").contains("#")).select(F.col("fqn").alias("m"), F.substring_index("fqn", "#", 1).alias("from_fqn"), F.substring_index("fqn", "#", -1).alias("name"))
-    follow = members.join(types_to, "from_fqn").select(F.col("m").alias("from_fqn"), F.concat("to_fqn", F.lit("#"), "name").alias("to_fqn")).join(n.withColumnRenamed("fqn", "to_fqn"), "to_fqn", "left_semi")
-    return removed, added, types_to.select("from_fqn", "to_fqn").unionByName(follow.select("from_fqn", "to_fqn"))
+    types_to = pairs.filter("n = 1 OR (shared = best AND best >= 1 AND ties = 1)").select(*by, "from_fqn", "to_fqn")
+    members = removed.filter(F.col("fqn").contains("#")).select(*by, F.col("fqn").alias("m"), F.substring_index("fqn", "#", 1).alias("from_fqn"), F.substring_index("fqn", "#", -1).alias("name"))
+    follow = members.join(types_to, [*by, "from_fqn"]).select(*by, F.col("m").alias("from_fqn"), F.concat("to_fqn", F.lit("#"), "name").alias("to_fqn")).join(n.withColumnRenamed("fqn", "to_fqn"), [*by, "to_fqn"], "left_semi")
+    return removed, added, types_to.unionByName(follow)
 
 
 def override(symbols: DataFrame, rules: DataFrame) -> DataFrame:

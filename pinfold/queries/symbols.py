@@ -145,6 +145,44 @@ def diff_mapped(spark: SparkSession, sf: str) -> DataFrame:
     return S.diff(*_pair(spark, sf))[2]
 
 
+# Every step from one season to the next of each library and language, each symbol once.
+KEY = "library, language, season_from, season_to"
+STEPS = rf"""sy AS (SELECT DISTINCT lower(trim(coalesce(library, ''))) AS library, lower(trim(coalesce(language, ''))) AS language, season, fqn FROM {SYMBOLS} WHERE season <> '' AND fqn IS NOT NULL),
+st AS (SELECT * FROM (SELECT library, language, season AS season_to, lag(season) OVER (PARTITION BY library, language ORDER BY season) AS season_from FROM (SELECT DISTINCT library, language, season FROM sy)) WHERE season_from IS NOT NULL),
+o AS (SELECT st.*, fqn FROM st JOIN sy USING (library, language) WHERE season = season_from), n AS (SELECT st.*, fqn FROM st JOIN sy USING (library, language) WHERE season = season_to),
+gone AS (SELECT * FROM o ANTI JOIN n USING ({KEY}, fqn)), fresh AS (SELECT * FROM n ANTI JOIN o USING ({KEY}, fqn)),
+a AS (SELECT {KEY}, fqn AS from_fqn, {TYPED % 'fqn'} AS t, list_reverse(string_split(replace({PACKED % 'fqn'}, '::', '.'), '.')) AS p FROM gone WHERE NOT contains(fqn, '#')),
+b AS (SELECT {KEY}, fqn AS to_fqn, {TYPED % 'fqn'} AS t, list_reverse(string_split(replace({PACKED % 'fqn'}, '::', '.'), '.')) AS q FROM fresh WHERE NOT contains(fqn, '#')),
+pairs AS (SELECT *, len(list_filter(range(1, len(p) + 1), lambda i: p[1:i] = q[1:i])) AS shared FROM a JOIN b USING ({KEY}, t) WHERE t <> ''),
+best AS (SELECT {KEY}, from_fqn, to_fqn FROM pairs QUALIFY count(*) OVER (PARTITION BY {KEY}, from_fqn) = 1 OR (shared >= 1
+  AND shared = max(shared) OVER (PARTITION BY {KEY}, from_fqn) AND count(*) OVER (PARTITION BY {KEY}, from_fqn, shared) = 1)),
+members AS (SELECT g.library, g.language, g.season_from, g.season_to, g.fqn AS from_fqn, to_fqn || '#' || regexp_extract(g.fqn, '([^#]*)$', 1) AS to_fqn FROM gone g JOIN best b
+  ON g.library = b.library AND g.language = b.language AND g.season_to = b.season_to AND string_split(g.fqn, '#')[1] = b.from_fqn WHERE contains(g.fqn, '#')),
+steps AS (SELECT {KEY}, 'removed' AS change, fqn, NULL AS to_fqn FROM gone UNION ALL SELECT {KEY}, 'added', fqn, NULL FROM fresh UNION ALL SELECT {KEY}, 'mapped', from_fqn, to_fqn FROM best
+  UNION ALL SELECT {KEY}, 'mapped', from_fqn, to_fqn FROM members m WHERE EXISTS (SELECT 1 FROM n WHERE n.library = m.library AND n.language = m.language AND n.season_to = m.season_to AND n.fqn = m.to_fqn))"""
+
+
+@register("diff_steps", f"WITH {STEPS} SELECT {KEY}, change, fqn, to_fqn FROM steps")
+def diff_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """What each library lost, got and moved in each language at each step from one of its seasons to the next."""
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))).alias(c)
+    sy = symbols(spark, sf).filter("season <> '' AND fqn IS NOT NULL").select(plain("library"), plain("language"), "season", "fqn").distinct()
+    key = ("library", "language", "season_from", "season_to")
+    steps = X.grouped_versions(sy).withColumnRenamed("before", "season_from").withColumnRenamed("season", "season_to").filter("season_from IS NOT NULL").select(*key)
+    side = lambda s: sy.withColumnRenamed("season", s).join(steps, ["library", "language", s])
+    removed, added, mapped = S.diff(side("season_from"), side("season_to"), key)
+    none = F.lit(None).cast("string").alias("to_fqn")
+    rows = [removed.select(*key, F.lit("removed").alias("change"), "fqn", none), added.select(*key, F.lit("added").alias("change"), "fqn", none)]
+    return rows[0].unionByName(rows[1]).unionByName(mapped.select(*key, F.lit("mapped").alias("change"), F.col("from_fqn").alias("fqn"), "to_fqn"))
+
+
+@register("diff_counts", f"WITH {STEPS} SELECT {KEY}, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'mapped') AS mapped FROM steps GROUP BY ALL")
+def diff_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The steps at which something changed; the counts of diff_report and that of mapped names."""
+    count = lambda c: F.count_if(F.col("change") == c).alias(c)
+    return diff_steps(spark, sf).groupBy("library", "language", "season_from", "season_to").agg(count("removed"), count("added"), count("mapped"))
+
+
 RULES = f"(SELECT fqn, max(replacement) AS to_fqn FROM {SYMBOLS} WHERE replacement_src = 'upstream' AND replacement <> '' GROUP BY fqn)"
 
 
