@@ -76,6 +76,13 @@ def fold_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(F.lower(F.trim("lang")).alias("lang")).agg(F.count("*").alias("n"), F.countDistinct("t").alias("terms"))
 
 
+@register("fold_tokens_all")
+def fold_tokens_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Folded terms of all texts, of any script; strip_accents of SQL folds other scripts than Latin differently."""
+    rows = table(spark, sf, "documents").select("lang", F.explode(T.tokens(T.fold(F.col("text")))).alias("t"))
+    return rows.groupBy(F.lower(F.trim("lang")).alias("lang")).agg(F.count("*").alias("n"), F.countDistinct("t").alias("terms"))
+
+
 @register(
     "identity_parse",
     "SELECT DISTINCT id, regexp_replace(id, '#[0-9]+$', '') AS doc_id, regexp_extract(id, '#([0-9]+)$', 1)::INT AS ord FROM search_hit WHERE regexp_matches(id, '#[0-9]{1,9}$')",
