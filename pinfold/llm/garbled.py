@@ -1,7 +1,9 @@
 """Text decoded with the wrong character encoding (problem 9).
 
 1. Statistics over the whole corpus: in how many texts each pair of adjacent characters occurs, one of them not ASCII,
-   and in how many each single character. They fill tables of a fixed size, so what is broadcast has a fixed bound.
+   each single character, and each character beyond ASCII that stands alone with the two on either side of it. They fill
+   tables of a fixed size, so what is broadcast has a fixed bound. A slot that several share holds at most the number of
+   texts times (such places a text / slots) more on average, far below the shares of texts that count as known.
 2. Adjacent pairs of a text are scored by their mutual information; maximum-scoring segments of improbability are the
    runs under suspicion. Characters that are a UTF-8 sequence to a wrong decoder are so however often they occur.
 3. Only inside such runs inverse mappings are tried: the characters back to the bytes of a wrong encoding, and those
@@ -26,14 +28,15 @@ from pyspark.sql import DataFrame, functions as F
 from pinfold.llm.pretokens import code_points, slices, string_buffers
 from pinfold.session import ship
 
-#: Slots of the pair table and of the table of characters; both fixed, so 12 MB are broadcast however large the corpus.
-PAIRS, SINGLES = 1 << 20, 1 << 18
+#: Slots of the pairs, the characters and the lone characters in their places; fixed, so 9 MB are broadcast however large
+#: the corpus. Counts are kept as 32-bit floats, exact up to 2^24 and never too large for it.
+PAIRS, SINGLES, PLACES = 1 << 20, 1 << 18, 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Decoders that may have been applied wrongly. Bytes they leave undefined pass as control characters.
 WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859-2", "iso8859-5", "iso8859-9", "iso8859-15", "cp437", "cp850", "cp852", "cp866", "koi8-r", "mac-roman")
 #: Encodings that the bytes may have been in, besides UTF-8.
 RIGHT = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859-2", "iso8859-5", "iso8859-9", "iso8859-15", "cp437", "cp850", "cp852", "cp866", "koi8-r", "mac-roman")
-UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+UTF8 = re.compile(b"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 #: Encodings of two bytes a character that are tried besides; a run in them must give so many known characters.
 WIDE, LEAST = ("cp932", "euc_jp", "gb18030", "big5", "euc_kr"), 3
 CLUSTER = re.compile("[^\x00-\x7f]+")
@@ -90,6 +93,21 @@ def pair_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(44)).astype(np.int64)
 
 
+def place_slot(around: np.ndarray) -> np.ndarray:
+    """Slots of rows of five characters, the third of which stands alone."""
+    x = np.zeros(len(around), np.uint64)
+    for k in range(5):
+        x = (x ^ around[:, k].astype(np.uint64)) * _M1
+        x ^= x >> np.uint64(29)
+    return ((x * _M2) >> np.uint64(44)).astype(np.int64)
+
+
+def lone(cp: np.ndarray) -> np.ndarray:
+    """Places of characters beyond ASCII between ASCII ones; two characters lie on either side."""
+    high = cp > 127
+    return 2 + np.flatnonzero(high[2:-2] & ~high[1:-3] & ~high[3:-1])
+
+
 def char_slot(a: np.ndarray) -> np.ndarray:
     return np.where(a < SINGLES, a, SINGLES // 2 + a % (SINGLES // 2)).astype(np.int64)
 
@@ -109,13 +127,13 @@ def text_marks(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, owner
 
 
-def statistics(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """(texts with each pair, texts with each character, texts), over all rows."""
+def statistics(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(texts with each pair, with each character, with each lone character in its place, texts), over all rows."""
     spark = df.sparkSession
     ship(spark)
 
     def run(batches):
-        pairs, singles, texts = np.zeros(PAIRS, np.int64), np.zeros(SINGLES, np.int64), 0
+        pairs, singles, places, texts = np.zeros(PAIRS, np.int64), np.zeros(SINGLES, np.int64), np.zeros(PLACES, np.int64), 0
         for batch in batches:
             raw, offsets = string_buffers(batch.column(0))
             texts += len(offsets) - 1
@@ -134,28 +152,35 @@ def statistics(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, int]:
                 singles[:128] += seen.reshape(-1, 128).sum(0)
                 keys = np.unique(owner[~low] * SINGLES + char_slot(cp[~low]))
                 singles += np.bincount(keys % SINGLES, minlength=SINGLES)
-        p, s = np.flatnonzero(pairs), np.flatnonzero(singles)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([p, s + PAIRS, [PAIRS + SINGLES]])), pa.array(np.concatenate([pairs[p], singles[s], [texts]]))], ["slot", "n"]
-        )
+                at = lone(cp)
+                five = at[:, None] + np.arange(-2, 3)
+                around = np.where(owner[five] == owner[at][:, None], cp[five], 32)  # blanks beyond the ends
+                keys = np.unique(owner[at] * PLACES + place_slot(around))
+                places += np.bincount(keys % PLACES, minlength=PLACES)
+        n = np.concatenate([pairs, singles, places, [texts]])
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own])], ["slot", "n"])
 
     rows = df.select(F.col(text).cast("string").alias("t")).filter("t IS NOT NULL").mapInArrow(run, "slot bigint, n bigint")
     got = rows.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most one row a slot
-    table = np.zeros(PAIRS + SINGLES + 1, np.int64)
+    table = np.zeros(PAIRS + SINGLES + PLACES + 1, np.float64)
     table[got["slot"].to_numpy()] = got["n"].to_numpy()
-    return table[:PAIRS].astype(np.int32), table[PAIRS:-1].astype(np.int32), int(table[-1])
+    pairs, singles, places = np.split(table[:-1].astype(np.float32), [PAIRS, PAIRS + SINGLES])
+    return pairs, singles, places, int(table[-1])
 
 
 class Model:
     """Mutual information of adjacent characters, shrunk to 0 where few texts would hold the pair by chance."""
 
-    def __init__(self, pairs: np.ndarray, singles: np.ndarray, texts: int):
-        self.pairs, self.singles, self.texts = pairs, singles, max(texts, 1)
+    def __init__(self, pairs: np.ndarray, singles: np.ndarray, places: np.ndarray, texts: int):
+        self.pairs, self.singles, self.places, self.texts = pairs, singles, places, max(texts, 1)
         #: Texts from which on a pair counts as known.
         self.known_from = 2 + 0.0003 * texts
         #: Texts up to which a pair counts as rare, and up to which it is looked at anyway.
         self.rare_to, self.doubt_to = max(3, 0.002 * texts), max(3, 0.005 * texts)
         self.memory: dict[tuple[str, str], tuple[float, int]] = {}
+        self.worths: dict[tuple[str, str], float] = {}
+        self.likes: dict[tuple[str, str], float] = {}
 
     def scores(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(mutual information, texts) of folded pairs."""
@@ -173,6 +198,41 @@ class Model:
             got = self.memory[a, b] = float(info[0]), int(n[0])
         return got
 
+    def worth(self, a: str, b: str) -> float:
+        got = self.worths.get((a, b))
+        if got is None:
+            if len(self.worths) > 500_000:
+                self.worths.clear()
+            info, n = self.pair(a, b)
+            got = self.worths[a, b] = min(info, 0.0) + 0.25 * (math.log1p(n) - math.log1p(self.texts))
+        return got
+
+    def like(self, a: str, b: str) -> float:
+        """The worth of a pair of which one character is ASCII, at least what its best like is worth, less 1: a small
+        letter instead of a small one, a capital for a capital, a mark or blank for a mark."""
+        got = self.likes.get((a, b))
+        if got is None:
+            got = self.worth(a, b)
+            if a < "\x80":
+                got = max(got, max(self.worth(x, b) for x in _likes(a)) - 1.0)
+            elif b < "\x80":
+                got = max(got, max(self.worth(a, x) for x in _likes(b)) - 1.0)
+            if len(self.likes) > 500_000:
+                self.likes.clear()
+            self.likes[a, b] = got
+        return got
+
+    def place(self, around: str) -> float:
+        """Texts that hold the third of five characters between the others."""
+        return float(self.places[place_slot(fold(np.array([[ord(c) for c in around]])))[0]])
+
+
+_SMALL, _LARGE, _MARK = [[chr(c) for c in range(32, 127) if ok(chr(c))] for ok in (str.islower, str.isupper, lambda c: not c.isalpha())]
+
+
+def _likes(c: str) -> list[str]:
+    return _SMALL if c.islower() else _LARGE if c.isupper() else _MARK
+
 
 def segments(at: np.ndarray, score: np.ndarray, gap: float) -> list[tuple[int, int]]:
     """All maximal scoring segments over positions with scores; each position in between costs ``gap``.
@@ -180,15 +240,10 @@ def segments(at: np.ndarray, score: np.ndarray, gap: float) -> list[tuple[int, i
     Gives (first, last) places in ``at``. One pass with a stack of candidate segments.
     """
     out: list[list[float]] = []  # [first, last, sum before, sum with]
-    total, before = 0.0, None
-    for i, (p, s) in enumerate(zip(at.tolist(), score.tolist())):
-        if before is not None:
-            total -= gap * (p - before - 1)
-        before = p
-        left, total = total, total + s
-        if s <= 0:
-            continue
-        new = [i, i, left, total]
+    total = np.cumsum(score - gap * (np.diff(at, prepend=at[:1] - 1) - 1))
+    high = np.flatnonzero(score > 0)
+    for i, left, with_ in zip(high.tolist(), (total[high] - score[high]).tolist(), total[high].tolist()):
+        new = [i, i, left, with_]
         while True:
             j = len(out) - 1
             while j >= 0 and out[j][2] >= new[2]:
@@ -201,13 +256,6 @@ def segments(at: np.ndarray, score: np.ndarray, gap: float) -> list[tuple[int, i
     return [(int(a), int(b)) for a, b, _, _ in out]
 
 
-def _utf8(seq: str) -> str:
-    try:
-        return seq.encode("latin-1").decode("utf-8")
-    except UnicodeDecodeError:
-        return ""
-
-
 class Repair:
     """Finds and undoes wrong decodings in one text."""
 
@@ -223,8 +271,8 @@ class Repair:
     FAR = 3.0
     #: Share of a long run's characters that must be better off.
     MOST = 0.9
-    #: Readings that are read once more.
-    FRONT = 3
+    #: How many more texts, as a logarithm, must hold another character in a lone one's place.
+    ALONE = 3.0
     #: Pairs that tell a group's mix-up, and how far below the middle the shares of their garbled forms may
     #: lie.
     PROFILE, EVEN = 12, 2.5
@@ -233,28 +281,39 @@ class Repair:
         self.model, self.mixed = model, mixed or {}
         back, self.single = mappings()
         self.back = [_Back(m) for m in back]
+        #: The byte of each character in each wrong decoder's encoding, 0 if it has none.
+        self.bytes = np.zeros((len(back), 1 << 16), np.uint8)
+        self.bytes[:, :128] = np.arange(128)
+        for d, m in enumerate(back):
+            for c, b in m.items():
+                if c < 0xFFFF:
+                    self.bytes[d, c] = b
         known = lambda c: c < 128 or c == 0xFEFF or model.singles[c if c < SINGLES else SINGLES // 2] >= model.known_from
         self.known = known
         self.single = [m for m in ({a: b for a, b in x.items() if known(b) and not chr(a).isspace()} for x in self.single) if m]
         self.sequences = Sequences(self)
         self.found: dict[str, tuple[str, int]] = {}
-        self.read: dict[str, str] = {}  # UTF-8 sequences, at most as many as there are characters
+        self.stood: dict[str, str] = {}
+        self.outcomes: dict[str, list[int]] = {}
+        self.read: dict[bytes, str] = {}  # UTF-8 sequences, at most as many as there are characters
 
     def utf8(self, run: str) -> list[tuple[str, float]]:
         """The run with every UTF-8 sequence in it read as such, for each wrong decoder that allows one; and what the
         sequences themselves weigh as evidence."""
         out = []
-        for m in self.back:
-            as_bytes = run.translate(m)
+        codes = self.bytes[:, np.minimum(np.frombuffer(run.encode("utf-32-le"), np.uint32), 0xFFFF)]
+        begin = (codes[:, :-1] - np.uint8(0xC2) <= 0xF4 - 0xC2) & (codes[:, 1:] & 0xC0 == 0x80)
+        for d in np.flatnonzero(begin.any(1)).tolist():
             last, parts, weight = 0, [], 0.0
-            for h in UTF8.finditer(as_bytes):
+            for h in UTF8.finditer(codes[d].tobytes()):
                 c = self.read.get(h[0])
                 if c is None:
-                    c = self.read[h[0]] = _utf8(h[0])
+                    c = self.read[h[0]] = h[0].decode("utf-8", "ignore")
                 if not c:
                     continue
                 more = len(h[0]) > 2
-                if self.known(ord(c)) or more and self.rare(run[max(h.start() - 1, 0) : h.end() + 1]):  # else the bytes may have met by chance
+                # else the bytes may have met by chance
+                if self.known(ord(c)) or more and (parts or self.rare(run[max(h.start() - 1, 0) : h.end() + 1])):
                     parts += [run[last : h.start()], c]
                     weight += self.LONG if more else self.SHORT if not self.common(run[max(h.start() - 1, 0) : h.end() + 1]) else 0.0
                     last = h.end()
@@ -293,19 +352,16 @@ class Repair:
     def common(self, run: str) -> bool:
         return all(self.model.pair(a, b)[1] > self.model.doubt_to for a, b in zip(run, run[1:]) if a > "\x7f" or b > "\x7f")
 
-    def worth(self, a: str, b: str) -> float:
-        info, n = self.model.pair(a, b)
-        return min(info, 0.0) + 0.25 * (math.log1p(n) - math.log1p(self.model.texts))
-
-    def value(self, run: str) -> float:
+    def value(self, run: str, reading: bool = False) -> float:
         """What the corpus says of a run: low mutual information, support, and no control characters.
 
-        High mutual information counts for nothing, as the characters of one garbled sequence only meet each other.
+        High mutual information counts for nothing, as the characters of one garbled sequence only meet each other. For
+        a reading as UTF-8, what is like a pair speaks for it too: a word that is always garbled has no pairs of its own.
         """
-        total = 0.0
+        worth, total = self.model.like if reading else self.model.worth, 0.0
         for a, b in zip(run, run[1:]):
             if a > "\x7f" or b > "\x7f":
-                total += self.worth(a, b)
+                total += worth(a, b)
         return total - 2.0 * sum(1 for c in run if "\x80" <= c <= "\x9f")
 
     def without(self, old: tuple[float, int], now: int, share: float) -> tuple[float, int]:
@@ -369,7 +425,7 @@ class Repair:
         def score(m: dict[int, int]) -> float:
             total = -2.0 * sum(n for c, n in controls.items() if ord(c) not in m)
             for (a, b, left, right), n in pairs.items():
-                total += n * self.worth(a.translate(m) if left else a, b.translate(m) if right else b)
+                total += n * self.model.worth(a.translate(m) if left else a, b.translate(m) if right else b)
             return total
 
         return max(tried, key=score, default={})
@@ -405,13 +461,11 @@ class Repair:
             for r, had in front:
                 for x, weight in self.utf8(r):
                     new[x] = max(new.get(x, 0.0), had + weight)
-            held = []
             for x, weight in new.items():
-                v = self.value(x) + weight
-                held.append((v, x, weight))
+                v = self.value(x, True) + weight
                 if v > top_value + self.UTF_GAIN:
                     top, top_value = x, v
-            front = [(x, weight) for _, x, weight in sorted(held, reverse=True)[: self.FRONT]]
+            front = list(new.items())
             if not front:
                 break
         if top != run:
@@ -420,18 +474,57 @@ class Repair:
             double = max(self.wide(run), key=self.mean, default=run)
             if double != run:
                 return double, -1
-        tried, which, top_value = set(), -1, start
-        own = "".join(sorted({c for c in run[1:-1] if c > "\x7f"}))
-        for k in sorted(range(len(self.single)), key=lambda k: k not in self.mixed):
-            m = self.single[k]
-            y = own.translate(m)
-            if y != own and y not in tried:
-                tried.add(y)
-                x = run[0] + run[1:-1].translate(m) + run[-1]
-                if self.single_holds(run, x, self.mixed.get(k, 0.0)) and (v := self.value(x)) > top_value:
-                    top, top_value, which = x, v, k
+        which, top_value = -1, start
+        for k in self.different("".join(sorted({c for c in run[1:-1] if c > "\x7f"}))):
+            x = run[0] + run[1:-1].translate(self.single[k]) + run[-1]
+            if self.single_holds(run, x, self.mixed.get(k, 0.0)) and (v := self.value(x)) > top_value:
+                top, top_value, which = x, v, k
         return top, which
 
+    def different(self, own: str) -> list[int]:
+        """The single-byte mappings that make something else of these characters, one for each outcome."""
+        got = self.outcomes.get(own)
+        if got is None:
+            if len(self.outcomes) > 100_000:
+                self.outcomes.clear()
+            made = {own: -1}
+            for k in sorted(range(len(self.single)), key=lambda k: k not in self.mixed):
+                made.setdefault(own.translate(self.single[k]), k)
+            got = self.outcomes[own] = [k for k in made.values() if k >= 0]
+        return got
+
+
+    def alone(self, around: str) -> str:
+        """What a character that stands alone was in another single-byte encoding, itself if nothing speaks for that:
+        hardly any text holds it between these neighbours, and many hold the other, pair by pair too."""
+        got = self.stood.get(around)
+        if got is None:
+            if len(self.stood) > 200_000:
+                self.stood.clear()
+            c, model = around[2], self.model
+            got, most, old = c, 0.0, model.place(around)
+            if old <= model.rare_to:
+                for t in {m[ord(c)] for m in self.single if ord(c) in m}:
+                    n = model.place(around[:2] + chr(t) + around[3:])
+                    better = all(model.pair(*new)[1] > max(model.pair(*was)[1], model.known_from) for new, was in ((around[1] + chr(t), around[1:3]), (chr(t) + around[3], around[2:4])))
+                    if better and n > most and n >= 2 * model.known_from and math.log1p(n) - math.log1p(old) >= self.ALONE:
+                        got, most = chr(t), n
+            self.stood[around] = got
+        return got
+
+    def loners(self, s: str, a: int, b: int) -> str:
+        """A stretch of text with its lone characters as they were."""
+        out, last = [], a
+        for m in CLUSTER.finditer(s, a, b):
+            i = m.start()
+            if m.end() == i + 1 and (not i or s[i - 1] < "\x80") and (i + 1 == len(s) or s[i + 1] < "\x80"):
+                # five characters with blanks beyond the ends, as in the counts
+                c = self.alone((s[max(i - 2, 0) : i].rjust(2) + s[i : i + 3]).ljust(5))
+                if c != s[i]:
+                    out += [s[last:i], c]
+                    last = i + 1
+        return "".join([*out, s[last:b]])
+
 
 def mixups(model: Model) -> dict[int, float]:
     """The single-byte mappings that a whole group of texts needs, by number: how many texts with a garbled pair there
@@ -604,6 +697,8 @@ def restored(fix: Repair, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[in
                     fit[which] = fix.fits(s, which)
                 if not fit.get(which, True):
                     new, which = run, -1
+                if new == run:
+                    new = run[0] + fix.loners(s, a, b) + run[-1]
                 cut.append((a, b, run, new, which))
                 held.add(which)
                 last = b

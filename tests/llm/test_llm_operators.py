@@ -314,6 +314,14 @@ def test_a_frequent_garble_is_found(spark):
     assert got == {i: want for i, (_, want) in bad.items()}
 
 
+def test_a_word_that_is_always_garbled_and_a_lone_character_are_found(spark):
+    rows = [(i, f"Déjà réglé, même après {i} séances; it is naïve. It’s as high as {i}.") for i in range(400)]
+    bad = {9_000 + i: (spoil(f"café-{i} → naïve", "utf-8", "cp1252"), f"café-{i} → naïve") for i in range(6)}  # no text has it intact
+    bad[9_100] = ("Itís as plain as that.", "It’s as plain as that.")
+    df = spark.createDataFrame(rows + [(8_000, "Un artístico.")] + [(i, t) for i, (t, _) in bad.items()], "doc_id bigint, text string")
+    assert {r.doc_id: r.restored for r in garbled.repair(df, "doc_id", "text").collect()} == {i: want for i, (_, want) in bad.items()}
+
+
 @pytest.mark.parametrize("lang, right, wrong", [("tr", "cp1254", "cp1252"), ("ru", "cp1251", "cp1252")])
 def test_a_source_with_the_wrong_code_page_is_found(spark, lang, right, wrong):
     rng = random.Random(3)
@@ -328,11 +336,11 @@ def test_a_source_with_the_wrong_code_page_is_found(spark, lang, right, wrong):
 
 
 def test_one_mapping_is_chosen_over_all_runs():
-    pairs, singles = np.zeros(garbled.PAIRS, np.int32), np.zeros(garbled.SINGLES, np.int32)
+    pairs, singles, places = (np.zeros(n, np.float32) for n in (garbled.PAIRS, garbled.SINGLES, garbled.PLACES))
     a, b = (np.array([ord(c) for c in x]) for x in (" é ğ ", "é ğ x"))
     pairs[garbled.pair_slot(a, b)] = 100
     singles[[ord(c) for c in " éğ"]] = 100
-    fix = garbled.Repair(garbled.Model(pairs, singles, 1_000))
+    fix = garbled.Repair(garbled.Model(pairs, singles, places, 1_000))
     at = [k for k, m in enumerate(fix.single) if m.get(ord("Θ")) == ord("é")]  # é in cp1252, read as cp437
     runs = [" Θ "] * 60 + [" ≡ "]  # the second is ğ only in some of the encodings that have é there
     got = fix.whole(runs, set(at))
