@@ -316,8 +316,9 @@ def test_a_frequent_garble_is_found(spark):
 
 def test_a_word_that_is_always_garbled_and_a_lone_character_are_found(spark):
     rows = [(i, f"Déjà réglé, même après {i} séances; it is naïve. It’s as high as {i}.") for i in range(400)]
-    bad = {9_000 + i: (spoil(f"café-{i} → naïve", "utf-8", "cp1252"), f"café-{i} → naïve") for i in range(6)}  # no text has it intact
+    bad = {9_000 + i: (spoil(f"café-{i} → naïve", "utf-8", "cp1252"), f"café-{i} → naïve") for i in range(3)}  # no text has it intact
     bad[9_100] = ("Itís as plain as that.", "It’s as plain as that.")
+    rows += [(1_000 + i, f"El límite está aquí, así sí es típico, número {i}.") for i in range(200)]
     df = spark.createDataFrame(rows + [(8_000, "Un artístico.")] + [(i, t) for i, (t, _) in bad.items()], "doc_id bigint, text string")
     assert {r.doc_id: r.restored for r in garbled.repair(df, "doc_id", "text").collect()} == {i: want for i, (_, want) in bad.items()}
 
