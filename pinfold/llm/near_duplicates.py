@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pinfold.llm.pretokens import slices, string_buffers
-from pinfold.scratch import materialize
+from pinfold.scratch import drop, materialize
 from pinfold.session import ship
 
 WORD = re.compile("[a-z0-9_]+")
-#: Classes of more copies come out as a star around their smallest id instead of all their pairs.
+#: Classes of more copies come out as a star around their smallest id instead of all their pairs, unless told otherwise.
 COPIES = 256
 #: Hashes of words that a worker remembers before it starts afresh; no result depends on it.
 REMEMBER = 1_000_000
@@ -82,23 +82,27 @@ def sign(texts: list[str], memory: _Words, n: int, bands: int, rows: int) -> tup
 
 
 def signatures(df: DataFrame, text: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(id, hi, lo, bands) of the rows (id, text) whose text has n words or more."""
+    """(id, raw, hi, lo, bands) of the rows (id, text) whose text has n words or more; ``raw`` tells an id's texts apart."""
     ship(df.sparkSession)
 
     def run(batches):
         memory = _Words()
         for batch in batches:
-            _, offsets = string_buffers(batch.column(1))
+            _, offsets = string_buffers(batch.column(2))
             for a, b in slices(offsets):
                 if len(memory) > REMEMBER:
                     memory.clear()
-                texts = batch.column(1).slice(a, b - a).to_pylist()
+                texts = batch.column(2).slice(a, b - a).to_pylist()
                 own, digest, hashes = sign(texts, memory, n, bands, rows)
-                ids = batch.column(0).slice(a, b - a).take(pa.array(own))
+                keys = [c.slice(a, b - a).take(pa.array(own)) for c in (batch.column(0), batch.column(1))]
                 each = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * bands), pa.array(hashes.ravel()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(np.ascontiguousarray(digest[:, 1])), each], ["id", "hi", "lo", "bands"])
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(np.ascontiguousarray(digest[:, 1])), each], ["id", "raw", "hi", "lo", "bands"])
 
-    return df.select("id", text).filter(F.col(text).isNotNull() & F.col("id").isNotNull()).mapInArrow(run, "id string, hi bigint, lo bigint, bands array<bigint>")
+    return _texts(df, text).select("id", "raw", "text").mapInArrow(run, "id string, raw bigint, hi bigint, lo bigint, bands array<bigint>")
+
+
+def _texts(df: DataFrame, text: str) -> DataFrame:
+    return df.select("id", F.xxhash64(text).alias("raw"), F.col(text).alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
 
 
 def gram_set(text: str, n: int) -> set:
@@ -117,16 +121,16 @@ def links(df: DataFrame, text: str, similarity: tuple[int, int] = (3, 5), n: int
     bands = bands_for(num / den, rows, recall)
     signed = materialize(signatures(df, text, n, bands, rows), "signatures")
     members = signed.select("id", "hi", "lo").distinct()
+    shuffled = 2 * 16 * bands * signed.count()  # both sides of the self-join read a hash and a class for every band
     classes = signed.groupBy("hi", "lo").agg(F.first("bands").alias("bands"))
     hashes = classes.select(F.col("hi").alias("c"), F.explode("bands").alias("b"))
     # one exchange serves both sides; hot hashes are split by the adaptive skew join
     meet = hashes.alias("x").join(hashes.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.c") < F.col("y.c")))
-    pairs = materialize(meet.select(F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct(), "candidates")
+    pairs = materialize(meet.select(F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct(), "candidates", shuffled)
     wanted = pairs.select(F.explode(F.array("ca", "cb")).alias("hi")).distinct()
-    chosen = signed.select("id", "hi", "lo").join(wanted, "hi", "left_semi").groupBy("hi", "lo").agg(F.min("id").alias("id"))
-    bodies = df.select("id", F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    # an id with several texts offers each of them; the digest is not recomputed, a wrong text can't reach the similarity unseen
-    texts = materialize(bodies.join(chosen, "id").groupBy("hi", "lo").agg(F.max("text").alias("text")), "texts")
+    chosen = signed.select("id", "raw", "hi", "lo").join(wanted, "hi", "left_semi").groupBy("hi", "lo").agg(F.min(F.struct("id", "raw")).alias("one")).select("hi", "lo", "one.*")
+    # an id may have several texts, so the class's own is told by its hash; a row delivered twice offers it twice
+    texts = materialize(_texts(df, text).join(chosen, ["id", "raw"]).groupBy("hi", "lo").agg(F.max("text").alias("text")), "texts", shuffled // 4)
     a = texts.select(F.col("hi").alias("ca"), F.col("lo").alias("lo_a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("hi").alias("cb"), F.col("lo").alias("lo_b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "ca").join(b, "cb").select(F.col("ca").alias("hi_a"), "lo_a", F.col("cb").alias("hi_b"), "lo_b", "text_a", "text_b")
@@ -150,28 +154,29 @@ def links(df: DataFrame, text: str, similarity: tuple[int, int] = (3, 5), n: int
             ok = (den * common >= num * either) & (either > 0)
             yield pdf[["hi_a", "lo_a", "hi_b", "lo_b"]].assign(common=common, either=either)[ok]
 
-    found = both.mapInPandas(verify, "hi_a bigint, lo_a bigint, hi_b bigint, lo_b bigint, common bigint, either bigint")
+    found = materialize(both.mapInPandas(verify, "hi_a bigint, lo_a bigint, hi_b bigint, lo_b bigint, common bigint, either bigint"), "links", shuffled // 2)
     return members, found
 
 
-def duplicate_pairs(df: DataFrame, text: str, **how) -> DataFrame:
+def duplicate_pairs(df: DataFrame, text: str, copies: int | None = COPIES, **how) -> DataFrame:
     """(id_a, id_b): the pairs of different ids whose texts are similar enough, smaller string first, once per pair.
 
     Null, empty and short texts (under n words) are in no pair; a row delivered twice makes no pair with itself; an
-    empty table gives no pair. A class of more than COPIES ids (the same words throughout) comes out as pairs of its
-    smallest id with each other member, and that id alone stands for it in pairs with other classes; up to COPIES ids
-    every pair comes out.
+    empty table gives no pair. A class of more than ``copies`` ids (the same words throughout) comes out as pairs of its
+    smallest id with each other member, and that id alone stands for it in pairs with other classes; up to ``copies`` ids,
+    or if it is None, every pair comes out. ``duplicate_classes`` has the members by which the others can be told.
     """
     members, found = links(df, text, **how)
     members = materialize(members, "members")
+    most = 2**62 if copies is None else copies
     sizes = members.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     many = sizes.filter("n > 1")
     within = members.join(many, ["hi", "lo"])
-    star = within.filter(f"n > {COPIES} AND id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    few = within.filter(f"n <= {COPIES}")
+    star = within.filter(f"n > {most} AND id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    few = within.filter(f"n <= {most}")
     x, y = few.select("hi", "lo", F.col("id").alias("a")), few.select("hi", "lo", F.col("id").alias("b"))
     inside = x.join(y, ["hi", "lo"]).filter("a < b").select("a", "b")
-    outer = members.join(sizes, ["hi", "lo"]).filter(f"n <= {COPIES} OR id = first").select("hi", "lo", "id")
+    outer = members.join(sizes, ["hi", "lo"]).filter(f"n <= {most} OR id = first").select("hi", "lo", "id")
     left = outer.select(F.col("hi").alias("hi_a"), F.col("lo").alias("lo_a"), F.col("id").alias("a"))
     right = outer.select(F.col("hi").alias("hi_b"), F.col("lo").alias("lo_b"), F.col("id").alias("b"))
     across = found.join(left, ["hi_a", "lo_a"]).join(right, ["hi_b", "lo_b"]).select("a", "b")
@@ -179,6 +184,21 @@ def duplicate_pairs(df: DataFrame, text: str, **how) -> DataFrame:
     return every.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
+def duplicate_classes(df: DataFrame, text: str, **how) -> DataFrame:
+    """(id, class, copies, links): the class of each id with a long enough text, named by the smallest id in it, how many
+    ids have its very words, and to how many other classes it is similar enough.
+
+    Together with the pairs between the names this says all that the pairs of all ids do. An id with two texts is in two
+    classes, and a class of few words, null and empty texts are in none.
+    """
+    members, found = links(df, text, **how)
+    members = materialize(members, "members")
+    sizes = members.groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min("id").alias("class"))
+    ends = found.select(F.explode(F.array(F.struct(F.col("hi_a").alias("hi"), F.col("lo_a").alias("lo")), F.struct(F.col("hi_b").alias("hi"), F.col("lo_b").alias("lo")))).alias("c"))
+    degree = ends.groupBy("c.hi", "c.lo").agg(F.count("*").alias("links"))
+    return members.join(sizes.join(degree, ["hi", "lo"], "left"), ["hi", "lo"]).select("id", "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, label): the smallest node reachable over ``edges`` (a, b), for every node on an edge.
 
@@ -196,6 +216,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         new = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         new = materialize(new, "edges")
         change = new.join(now.select("a", "b"), ["a", "b"], "left_anti").limit(1).count() + now.join(new, ["a", "b"], "left_anti").limit(1).count()
+        drop(now)
         now = new
         if not change:
             break

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pinfold.llm.encode import token_counts, token_ids
 from pinfold.llm.garbled import repair
 from pinfold.llm.leximin import leximin
-from pinfold.llm.near_duplicates import duplicate_groups, duplicate_pairs
+from pinfold.llm.near_duplicates import duplicate_classes, duplicate_groups, duplicate_pairs
 from pinfold.llm.packing import containers
 from pinfold.llm.splitting import split
 from pinfold.llm.token_budget import token_budget
@@ -32,6 +32,10 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return duplicate_groups(_bodies(spark, sf), "body")
 
 
+def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicate_classes(_bodies(spark, sf), "body")
+
+
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split(table(spark, sf, "chunk"), ["doc_id", "ord"], "body", "heading_path")
 
@@ -77,7 +81,7 @@ def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_budget": p5_budget, "p6_ranking": p6_ranking, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_restored": p9_restored}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p1_classes": p1_classes, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_budget": p5_budget, "p6_ranking": p6_ranking, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_restored": p9_restored}
 
 
 P4_SQL = """

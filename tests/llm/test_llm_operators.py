@@ -250,6 +250,31 @@ def test_containers_of_a_table(spark):
     assert packing.containers(df.limit(0), "doc_id", "n", 2048).count() == 0
 
 
+# ---- near duplicates of one id, and of many (problem 1)
+
+WORDS = [f"w{i:03}" for i in range(200)]
+
+
+def test_each_class_keeps_its_own_text(spark):
+    a, b = " ".join(WORDS[:40]), " ".join(WORDS[100:140])
+    rows = [("x", a), ("x", b), ("y", a + " more"), ("w", b + " more"), ("x", a)]
+    df = spark.createDataFrame(rows, "id string, body string")
+    assert {tuple(r) for r in nd.duplicate_pairs(df, "body").collect()} == {("w", "x"), ("x", "y")}
+
+
+def test_classes_and_pairs_of_many_copies(spark):
+    a = " ".join(WORDS[:30])
+    rows = [(f"k{i}", a) for i in range(6)] + [("near", a + " more"), ("far", " ".join(WORDS[60:90])), ("short", "two words"), ("none", None)]
+    df = spark.createDataFrame(rows, "id string, body string")
+    got = {r.id: (r["class"], r.copies, r.links) for r in nd.duplicate_classes(df, "body").collect()}
+    assert got == {**{f"k{i}": ("k0", 6, 1) for i in range(6)}, "near": ("near", 1, 1), "far": ("far", 1, 0)}
+    pairs = lambda **how: {tuple(r) for r in nd.duplicate_pairs(df, "body", **how).collect()}
+    ids = [f"k{i}" for i in range(6)] + ["near"]
+    assert pairs(copies=None) == pairs() == {(x, y) for x in ids for y in ids if x < y}
+    assert pairs(copies=5) == {("k0", y) for y in ids[1:]}
+    assert nd.duplicate_classes(df.limit(0), "body").count() == 0
+
+
 # ---- garbled text (problem 9)
 
 CLEAN = [
