@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,12 +38,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once and gives back a scan of what was written."""
+def materialize(df: DataFrame, name: str, shuffled: int = 0) -> DataFrame:
+    """Writes ``df`` once and gives back a scan of what was written.
+
+    ``shuffled`` is the estimated number of bytes that its largest exchange moves: where the session's number of shuffle
+    partitions would make them larger than the size it advises, this one write uses more of them.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffle_sized(spark, shuffled):
+        df.write.parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._pinfold_path = path
+    return got
+
+
+@contextmanager
+def shuffle_sized(spark: SparkSession, shuffled: int):
+    """Enough shuffle partitions for so many bytes, at the session's advised size, while the block runs."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    advised = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
+    wanted = -(-shuffled // advised)
+    if wanted <= int(before):
+        yield
+        return
+    spark.conf.set(key, str(wanted))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for ``df``; nothing that reads it may run afterwards."""
+    path = getattr(df, "_pinfold_path", None)
+    if path:
+        drop_path(df.sparkSession, path)
+        _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
