@@ -112,7 +112,7 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
         k = min(len(pool), math.ceil(sum(own) / capacity) + extra)
         parts = differencing(own, k)
         full = [sum(own[j] for j in p) for p in parts]
-        if max(full) > capacity and k < 400:
+        if max(full) > capacity:
             better = relieve(parts, own, capacity)
             if better is not None:
                 parts, full = better, [0]
@@ -168,3 +168,12 @@ def containers(items: DataFrame, key: str, size: str, capacity: int, group: int
     packed = rest.repartition(max(1, math.ceil(groups / 4)), "g").groupBy("g").applyInPandas(one, f"key {kind}, piece int, start bigint, size bigint, container string")
     both = packed.unionByName(full)
     return both.select(F.col("key").alias(key), "piece", "start", F.col("size").alias(size), "container")
+
+
+def fill(packed: DataFrame, size: str, capacity: int) -> DataFrame:
+    """(containers, least, used, fill) of the rows of ``containers``: how many there are, how many the total needs at
+    least, the sum of sizes and its share of what the containers hold; no containers give 0, 0, 0 and null."""
+    each = packed.groupBy("container").agg(F.sum(size).alias("used"))
+    total = each.agg(F.count("*").alias("containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("used"))
+    least = F.ceil(F.col("used") / F.lit(capacity)).cast("bigint")
+    return total.select("containers", least.alias("least"), "used", F.round(F.col("used") / (F.nullif("containers", F.lit(0)) * capacity), 6).alias("fill"))

@@ -12,7 +12,7 @@ from pinfold.llm.encode import token_counts, token_ids
 from pinfold.llm.garbled import repair
 from pinfold.llm.leximin import leximin
 from pinfold.llm.near_duplicates import duplicate_classes, duplicate_groups, duplicate_pairs
-from pinfold.llm.packing import containers
+from pinfold.llm.packing import containers, fill
 from pinfold.llm.splitting import split
 from pinfold.llm.token_budget import token_budget
 from pinfold.session import table
@@ -72,6 +72,10 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return containers(token_counts(table(spark, sf, "documents"), ["doc_id"]), "doc_id", "n_tokens", CAPACITY)
 
 
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return fill(p8_containers(spark, sf), "n_tokens", CAPACITY)
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return repair(table(spark, sf, "documents"), "doc_id", "text").select("doc_id")
 
@@ -81,7 +85,7 @@ def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p1_classes": p1_classes, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_budget": p5_budget, "p6_ranking": p6_ranking, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_restored": p9_restored}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p1_classes": p1_classes, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_budget": p5_budget, "p6_ranking": p6_ranking, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_restored": p9_restored}
 
 
 P4_SQL = """

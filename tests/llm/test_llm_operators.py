@@ -248,6 +248,18 @@ def test_containers_of_a_table(spark):
     assert sorted((r.piece, r.start, r.n) for r in got if r.doc_id == 1) == [(0, 0, 2048), (1, 2048, 2048), (2, 4096, 904)]
     assert len([r for r in got if r.doc_id == 2]) == 1 and len([r for r in got if r.doc_id == 3]) == 2 and len([r for r in got if r.doc_id == 7]) == 2
     assert packing.containers(df.limit(0), "doc_id", "n", 2048).count() == 0
+    used = sum(max(r[1] or 0, 0) for r in rows)
+    (f,) = packing.fill(packing.containers(df, "doc_id", "n", 2048), "n", 2048).collect()
+    assert (f.containers, f.least, f.used, f.fill) == (len(total), -(-used // 2048), used, round(used / (2048 * len(total)), 6))
+    assert tuple(packing.fill(packing.containers(df.limit(0), "doc_id", "n", 2048), "n", 2048).first()) == (0, 0, 0, None)
+
+
+def test_large_items_are_exchanged_too():
+    rng = random.Random(5)
+    sizes = [rng.randrange(250, 700) for _ in range(2000)]  # over 400 windows
+    got = packing.pack(sizes, 2048)
+    assert sorted(i for p in got for i in p) == list(range(2000)) and all(sum(sizes[i] for i in p) <= 2048 for p in got)
+    assert sum(sizes) / (2048 * len(got)) > 0.98
 
 
 # ---- near duplicates of one id, and of many (problem 1)
