@@ -132,8 +132,8 @@ class Counts:
         return out
 
 
-_COUNTS: dict[int, Counts] = {}
-_TRIES: dict[int, Trie] = {}
+_COUNTS: list[tuple[object, Counts]] = []  # the last broadcast value of this worker and its counter
+_TRIES: list[tuple[object, Trie]] = []  # the driver's
 
 
 def path_counts(df: DataFrame, text: str, out: str, path: str | None = None) -> DataFrame:
@@ -144,17 +144,17 @@ def path_counts(df: DataFrame, text: str, out: str, path: str | None = None) ->
     spark = df.sparkSession
     ship(spark)
     v = vocabulary(path)
-    if id(v) not in _TRIES:
-        _TRIES[id(v)] = Trie(v.ranks)
-    handle = spark.sparkContext.broadcast((v, _TRIES[id(v)]))  # as large as the vocabulary, under 10 MB
+    if not _TRIES or _TRIES[0][0] is not v:
+        _TRIES[:] = [(v, Trie(v.ranks))]
+    handle = spark.sparkContext.broadcast((v, _TRIES[0][1]))  # as large as the vocabulary, under 10 MB
     rows = df.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = rows.drop("__text").schema.add(out, T.LongType())
 
     def run(batches):
         value = handle.value
-        counts = _COUNTS.get(id(value))
-        if counts is None:
-            counts = _COUNTS[id(value)] = Counts(*value)
+        if not _COUNTS or _COUNTS[0][0] is not value:
+            _COUNTS[:] = [(value, Counts(*value))]
+        counts = _COUNTS[0][1]
         for batch in batches:
             for a, b, raw, offsets in pieces(batch, len(keep)):
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.array(counts.texts(raw, offsets))], [*keep, out])
