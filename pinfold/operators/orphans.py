@@ -1,6 +1,7 @@
 """References to records that do not exist, kept as incremental keyed state.
 
-State is two tables. The parent index holds for every key when it was first and last delivered and last deleted. The
+State is two tables, both in parts by a hash of the key; a batch rewrites only the parts whose keys it touches. The parent
+index holds for every key when it was first and last delivered and last deleted. The
 references hold when each was last made and its state: found, or waiting as missing, deleted or late. A batch of events
 touches some keys: new references probe the index, parents that arrive resolve those that wait for them, deletions
 reopen them. Only references of touched keys are judged anew. All parts of the state are minima and maxima, so batches
@@ -14,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pinfold.scratch import materialize
+from pinfold.scratch import Buckets, materialize
 
 EVENTS = "kind string, target string, key string, ref_table string, ref_field string, season string, record string, ref_value string, at timestamp"
 REF = ["ref_table", "ref_field", "season", "record", "ref_value"]
@@ -39,14 +40,31 @@ def uuid_key(value: Column) -> Column:
 
 @dataclass
 class OrphanState:
-    """The state after some batches; ``advance`` gives the state after one more."""
+    """The state after some batches; ``advance`` gives the state after one more, ``release`` deletes what only the older has.
 
-    parents: DataFrame
-    refs: DataFrame
+    ``buckets`` is fixed when the state is made: so many parts, and tasks, there are; by default the session's number of
+    shuffle partitions, more where a part would outgrow an executor.
+    """
+
+    index: Buckets
+    made: Buckets
+    buckets: int
 
     @classmethod
-    def empty(cls, spark: SparkSession) -> OrphanState:
-        return cls(spark.createDataFrame([], PARENTS), spark.createDataFrame([], REFS))
+    def empty(cls, spark: SparkSession, buckets: int | None = None) -> OrphanState:
+        return cls(Buckets(spark, PARENTS, {}), Buckets(spark, REFS, {}), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    @property
+    def parents(self) -> DataFrame:
+        return self.index.read()
+
+    @property
+    def refs(self) -> DataFrame:
+        return self.made.read()
+
+    def bucket(self) -> Column:
+        """The part of a key; references without a key are spread by what they say."""
+        return F.pmod(F.xxhash64("target", F.coalesce("key", "ref_value")), F.lit(self.buckets)).cast("int")
 
     def advance(self, events: DataFrame) -> OrphanState:
         """Takes a batch of events (columns EVENTS; kind is parent, deletion or reference).
@@ -55,27 +73,40 @@ class OrphanState:
         order: such a parent is neither late nor deleted, such a deletion and such a reference can't be placed in time.
         """
         of = lambda kind: F.when(F.col("kind") == kind, F.col("at"))
+        events = events.withColumn("bucket", self.bucket())
+        changed = {bool(r.own): r.b for r in events.filter("kind = 'reference' OR key IS NOT NULL").groupBy((F.col("kind") != "reference").alias("own")).agg(F.collect_set("bucket").alias("b")).collect()}
+        mine = sorted(changed.get(True, []))  # at most as many numbers as there are parts
+        both = sorted({*mine, *changed.get(False, [])})
         own = events.filter("kind <> 'reference' AND key IS NOT NULL")
         new = own.groupBy("target", "key").agg(F.max(F.col("kind") == "parent").alias("known"), F.min(of("parent")).alias("first_at"), F.max(of("parent")).alias("last_at"), F.max(of("deletion")).alias("deleted_at"))
-        parents = self.parents.unionByName(new).groupBy("target", "key").agg(F.max("known").alias("known"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max("deleted_at").alias("deleted_at"))
-        parents = materialize(parents, "parents")
+        index = self.index
+        if mine:
+            every = index.read(mine).unionByName(new).withColumn("ref_value", F.lit(None).cast("string")).withColumn("bucket", self.bucket()).repartition(self.buckets, "bucket")
+            merged = every.groupBy("bucket", "target", "key").agg(F.max("known").alias("known"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max("deleted_at").alias("deleted_at"))
+            index = index.replaced(merged, mine, "parents")
+        if not both:
+            return OrphanState(index, self.made, self.buckets)
         made = events.filter("kind = 'reference'").groupBy("target", "key", *REF).agg(F.max("at").alias("last_at"))
         made = made.withColumn("state", F.lit(None).cast("string"))
-        merged = self.refs.unionByName(made).groupBy("target", "key", *REF).agg(F.max("last_at").alias("last_at"), F.max("state").alias("state"), F.max(F.col("state").isNull()).alias("new"))
+        every = self.made.read(both).unionByName(made).withColumn("bucket", self.bucket()).repartition(self.buckets, "bucket")
+        merged = every.groupBy("bucket", "target", "key", *REF).agg(F.max("last_at").alias("last_at"), F.max("state").alias("state"), F.max(F.col("state").isNull()).alias("new"))
         touched = new.select("target", "key").withColumn("hit", F.lit(True))
         waiting = merged.join(touched, ["target", "key"], "left")
         again = F.col("new") | F.coalesce("hit", F.lit(False))
-        index = parents.withColumnRenamed("last_at", "parent_at")
-        probe = waiting.filter(again).join(index, ["target", "key"], "left")
+        probe = waiting.join(index.read(both).withColumnRenamed("last_at", "parent_at"), ["target", "key"], "left")
         state = (
-            F.when(~F.coalesce("known", F.lit(False)), "missing")
+            F.when(~again, F.col("state"))
+            .when(~F.coalesce("known", F.lit(False)), "missing")
             .when(F.coalesce(F.col("deleted_at") > F.col("parent_at"), F.lit(False)), "deleted")
             .when(F.coalesce(F.col("first_at") > F.col("last_at"), F.lit(False)), "late")
             .otherwise("found")
         )
-        cols = ["target", "key", *REF, "last_at"]
-        refs = probe.select(*cols, state.alias("state")).unionByName(waiting.filter(~again).select(*cols, "state"))
-        return OrphanState(parents, materialize(refs, "references"))
+        rows = probe.select("target", "key", *REF, "last_at", state.alias("state"), "bucket").repartition(self.buckets, "bucket")
+        return OrphanState(index, self.made.replaced(rows, both, "references"), self.buckets)
+
+    def release(self, newer: OrphanState) -> None:
+        self.index.release(newer.index)
+        self.made.release(newer.made)
 
     def orphans(self) -> DataFrame:
         return self.refs.filter("state <> 'found'").select(*REF, "state")
@@ -116,8 +147,9 @@ def events(chunk: DataFrame, symbol: DataFrame, vendordep: DataFrame, tombstone:
     return reduce(DataFrame.unionByName, parts)
 
 
-def replay(all_events: DataFrame) -> tuple[OrphanState, DataFrame]:
-    """Runs the events through the state month by month; gives the last state and the counts at each month's end.
+def replay(all_events: DataFrame, report: bool = True) -> tuple[OrphanState, DataFrame]:
+    """Runs the events through the state month by month; gives the last state and the counts at each month's end, or
+    without ``report`` those of the last month. What a month replaces is deleted, so the disk holds one state.
 
     Repeated events are merged first: one row for a key or reference and month, with its first and last time. Events
     without a time come with the first month.
@@ -131,8 +163,9 @@ def replay(all_events: DataFrame) -> tuple[OrphanState, DataFrame]:
     months = [r[0] for r in kept.select("month").distinct().orderBy("month").collect()]
     state, reports = OrphanState.empty(spark), []
     for m in months:
-        state = state.advance(kept.filter(F.col("month") == m).select(*cols, both.alias("at")))
-        reports.append(state.counts(m))
+        before, state = state, state.advance(kept.filter(F.col("month") == m).select(*cols, both.alias("at")))
+        before.release(state)
+        reports.append(materialize(state.counts(m).coalesce(1), "report") if report else state.counts(m))
     if not reports:
         return state, state.counts("")
-    return state, reduce(DataFrame.unionByName, reports)
+    return state, reduce(DataFrame.unionByName, reports) if report else reports[-1]

@@ -107,7 +107,7 @@ judged AS (
     _orphan_sql("SELECT '' AS period", "true") + "SELECT ref_table, ref_field, season, record, ref_value, state FROM judged WHERE state <> 'found'",
 )
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return replay(_events(spark, sf))[0].orphans()
+    return replay(_events(spark, sf), report=False)[0].orphans()
 
 
 @register(

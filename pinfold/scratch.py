@@ -11,6 +11,7 @@ import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,8 +75,7 @@ def drop(df: DataFrame) -> None:
     """Deletes what ``materialize`` wrote for ``df``; nothing that reads it may run afterwards."""
     path = getattr(df, "_pinfold_path", None)
     if path:
-        drop_path(df.sparkSession, path)
-        _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
+        forget(df.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -84,6 +84,45 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a path given by ``new_path``, or a part of one."""
+    drop_path(spark, path)
+    _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
+
+
+@dataclass(frozen=True)
+class Buckets:
+    """A table kept in parts by an integer column ``bucket`` of a fixed number of values, each part in a folder of its own.
+
+    ``replaced`` writes some parts anew and gives the table with those instead; the other parts stay where they are, so
+    a small change costs the parts it touches. ``release`` deletes what a newer version no longer has.
+    """
+
+    spark: SparkSession
+    schema: str
+    parts: dict[int, str]
+
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        paths = [p for b, p in sorted(self.parts.items()) if only is None or b in only]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def replaced(self, df: DataFrame, touched: list[int], name: str) -> Buckets:
+        """``df`` has all rows of the touched parts and ``bucket``, by which it should be partitioned."""
+        path = new_path(self.spark, name)
+        df.write.partitionBy("bucket").parquet(path)
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+        own = [f.getPath().toString() for f in found if f.isDirectory()]
+        return Buckets(self.spark, self.schema, {b: p for b, p in self.parts.items() if b not in touched} | {int(p.rsplit("=", 1)[1]): p for p in own if "bucket=" in p})
+
+    def release(self, newer: Buckets) -> None:
+        for p in set(self.parts.values()) - set(newer.parts.values()):
+            drop_path(self.spark, p)
+
+
 def clean() -> None:
     """Deletes every intermediate table of this process. Results that read them must have been saved before."""
     while _WRITTEN:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pinfold.operators.orphans import OrphanState
-from pinfold.scratch import materialize, new_path
+from pinfold.scratch import drop, materialize, new_path
 from pinfold.session import ship
 
 
@@ -60,7 +60,10 @@ def merged_counts(stream: DataFrame, when: str, labels: list[str], value: str, w
         own = batch.groupBy(F.window(when, window).alias("w"), *labels).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), *labels, "n", "total")
         if held:
             own = held[0].unionByName(own).groupBy("start", *labels).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-        held[:] = [materialize(own, "counts")]
+        new = materialize(own, "counts")
+        if held:
+            drop(held[0])
+        held[:] = [new]
 
     drain_batches(stream, "counts", each)
     if not held:
@@ -97,7 +100,8 @@ def orphans(stream: DataFrame, start: OrphanState, report: Callable[[OrphanState
     held = [start]
 
     def each(batch: DataFrame, number: int) -> None:
-        held[0] = held[0].advance(batch)
+        before, held[0] = held[0], held[0].advance(batch)
+        before.release(held[0])
         report(held[0], number)
 
     drain_batches(stream, "orphans", each)
