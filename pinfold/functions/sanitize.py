@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from pinfold.session import ship_active
+
 # What counts as hidden, in the order in which it is removed.
 COMMENT = r"(?s)<!--.*?-->"
 HIDDEN = (
@@ -100,12 +103,22 @@ TRIGGERS = [
 ]
 
 
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+def _composed(x: str | None) -> str | None:
+    return x if x is None or x.isascii() else unicodedata.normalize("NFC", x)
+
+
+def _capped(x: str | None) -> str | None:
+    x = _composed(x)
+    return x if x is None or 4 * len(x) <= MOST_BYTES else x.encode()[:MOST_BYTES].decode("utf-8", "ignore")
+
+
+def _vectorized(f: Callable[[str | None], str | None]) -> Callable[[pd.Series], pd.Series]:
+    ship_active()
 
+    def each(s: pd.Series) -> pd.Series:
+        return s.map(f)
 
-def _cap(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None else x.encode()[:MOST_BYTES].decode("utf-8", "ignore"))
+    return each
 
 
 def visible(c: Column) -> Column:
@@ -117,20 +130,21 @@ def visible(c: Column) -> Column:
 
 def nfc(c: Column) -> Column:
     """Composed form; Spark has no expression for it, so it is one vectorized call."""
-    return F.pandas_udf(_nfc, T.StringType())(c)
+    return F.pandas_udf(_vectorized(_composed), T.StringType())(c)
 
 
 def clean(c: Column) -> Column:
-    """visible, composed, and at most MOST_BYTES bytes of it."""
-    return F.pandas_udf(_cap, T.StringType())(nfc(visible(c)))
+    """visible, composed, and at most MOST_BYTES bytes of it; composing and cutting are one pass."""
+    return F.pandas_udf(_vectorized(_capped), T.StringType())(visible(c))
 
 
 def suspect(c: Column) -> Column:
-    """Whether any pattern matches; false for null. A pattern is tried only where one of its words occurs."""
+    """Whether any pattern matches, letters of every script in any case; false for null. A pattern is tried only where one
+    of its words occurs."""
     low, out = F.lower(c), F.lit(False)
     for pattern, words in zip(SUSPECT, TRIGGERS, strict=True):
         some = low.contains(words[0])
         for w in words[1:]:
             some = some | low.contains(w)
-        out = out | (some & c.rlike(pattern))
+        out = out | (some & c.rlike(pattern.replace("(?i", "(?iu", 1)))  # else only a-z is read in any case
     return F.coalesce(out, F.lit(False))

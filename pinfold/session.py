@@ -51,6 +51,13 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def ship_active() -> None:
+    """As ship, for the running session; column functions that need Python on the workers have no other."""
+    s = SparkSession.getActiveSession()
+    if s is not None:
+        ship(s)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
