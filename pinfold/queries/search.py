@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pinfold.functions import names as N, text as T, vectors as V
 from pinfold.operators import search as S
+from pinfold.operators.vectors import topk
 from pinfold.queries.common import ASKED, CHUNKS, STOP, SYMBOLS, TOK, asked, chunks, symbols
 from pinfold.queries.registry import register
 from pinfold.session import table
@@ -102,23 +103,22 @@ SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER B
 QUALIFY rank <= 10"""
 
 
-def _rank(df: DataFrame) -> DataFrame:
-    return S.top(df, [F.col("score").desc(), F.col("vec_id")], 10)
+def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf, "embeddings")
+    return e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
 
 
 @register("dense_topk", _dense(False))
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return _rank(S.cosine_topk(e, q, "vec_id", "embedding", 10))
+    e, q = _vectors(spark, sf)
+    return topk(e, q, "vec_id", "embedding", 10)
 
 
 @register("dense_topk_filtered", _dense(True))
 def dense_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    """Only rows of the query's label: a join on it, then the product within."""
-    e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("v"))
-    return _rank(q.join(e, "label").select("query_id", "vec_id", F.round(V.dot(F.col("v"), F.col("embedding")), 6).alias("score")))
+    """Only rows of the query's label: a mask within each block."""
+    e, q = _vectors(spark, sf)
+    return topk(e, q, "vec_id", "embedding", 10, label="label")
 
 
 @register(
@@ -132,12 +132,10 @@ SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER B
 QUALIFY rank <= 10""",
 )
 def dense_quantized(spark: SparkSession, sf: str) -> DataFrame:
-    """Products of the byte codes, times both scales. The codes are whole numbers, so their products are exact in blocks too."""
+    """Products of the byte codes, times both scales."""
     e = table(spark, sf, "embeddings").select("vec_id", V.quantize(F.col("embedding")).alias("code"), V.scale(F.col("embedding")).alias("scale"))
-    deq = F.transform("code", lambda x: x * F.col("scale"))
-    rows = e.select("vec_id", deq.alias("v"))
-    q = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("vector"))
-    return _rank(S.cosine_topk(rows, q, "vec_id", "v", 10))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("code").alias("vector"), "scale")
+    return topk(e, q, "vec_id", "code", 10, scale="scale")
 
 
 @register(
@@ -159,8 +157,7 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     lex = S.top(lex, [F.col("n").desc(), F.col("id")], S.DEPTH)
     e = table(spark, sf, "embeddings")
     first = e.agg(F.min_by("embedding", "vec_id").alias("vector")).withColumn("query_id", F.lit(0).cast("bigint"))
-    dense = S.cosine_topk(e, first, "vec_id", "embedding", S.DEPTH)
-    dense = S.top(dense, [F.col("score").desc(), F.col("vec_id")], S.DEPTH).withColumnRenamed("vec_id", "id")
+    dense = topk(e, first, "vec_id", "embedding", S.DEPTH).withColumnRenamed("vec_id", "id")
     return S.rrf(lex, dense, key=["id"])
 
 

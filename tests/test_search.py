@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pinfold.functions import text as T, vectors as V
 from pinfold.operators import measures as M, search as S, symbols as Y
+from pinfold.operators.vectors import Best, topk
 
 
 def _docs(spark, rows):
@@ -31,7 +32,7 @@ def test_vectors_against_brute_force(spark):
     df = spark.createDataFrame(rows, "id int, v array<double>")
     q = df.filter("id < 40 AND id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
     got = {}
-    for r in S.cosine_topk(df, q, "id", "v", 5, block=64).collect():
+    for r in topk(df, q, "id", "v", 5, block=1).collect():
         got.setdefault(r.query_id, []).append((-r.score, r.id))
     m = np.array([v for _, v in rows[:300]])
     for k, hits in got.items():
@@ -39,6 +40,26 @@ def test_vectors_against_brute_force(spark):
         assert sorted(hits) == sorted((-s[i], i) for i in np.lexsort((np.arange(300), -s))[:5])
 
 
+def test_best_of_many_batches():
+    rng = np.random.default_rng(4)
+    scores, best = rng.integers(0, 6, (3, 500)) / 2, Best(3, 7)  # many ties
+    for a in range(0, 500, 60):
+        best.add(np.arange(3), np.arange(500)[a : a + 60], scores[:, a : a + 60])
+    q, i, s = best.held
+    for k in range(3):
+        want = np.lexsort((np.arange(500), -scores[k]))[:7]
+        assert i[q == k].tolist() == want.tolist() and s[q == k].tolist() == scores[k][want].tolist()
+
+
+def test_vectors_of_a_label_and_edge_cases(spark):
+    rows = [(1, [1.0, 0.0], "a", "x"), (2, [0.5, 0.0], "a", "x"), (3, [2.0, 0.0], "b", "x"), (4, None, "a", "x"), (None, [9.0, 0.0], "a", "x"), (5, [1.0], "a", "x"), (6, [3.0, 0.0], None, "x"), (7, [1.0, 0.0], "a", "x")]
+    df = spark.createDataFrame(rows, "id int, v array<double>, label string, score string")
+    q = df.filter("id IN (1, 6)").select(F.col("id").alias("query_id"), F.col("v").alias("vector"), "label")
+    got = [(r.query_id, r.id, r.score, r["rank"]) for r in topk(df, q, "id", "v", 2, label="label").orderBy("rank").collect()]
+    assert got == [(1, 1, 1.0, 1), (1, 7, 1.0, 2)]
+    assert topk(df.limit(0), q, "id", "v", 2).count() == 0 and topk(df, q.limit(0), "id", "v", 2).count() == 0
+
+
 def test_quantized_codes(spark):
     r = spark.createDataFrame([([0.5, -1.0, 0.0, 0.004],), ([0.0, 0.0],)], "v array<double>").select(V.quantize(F.col("v")).alias("c"), V.scale(F.col("v")).alias("s")).collect()
     assert r[0].c == [64, -127, 0, 1] and r[0].s == 1 / 127 and r[1].c == [0, 0] and r[1].s == 0
