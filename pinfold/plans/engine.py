@@ -8,12 +8,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pinfold.functions import names as N
+from pinfold.functions import names as N, text as T
 from pinfold.operators import facts as X, search as S, symbols as Y
 from pinfold.plans import code as C
 from pinfold.plans.router import Decision, decide
 
-WEIGHTS = {c: S.WEIGHTS[c] for c in ("symbol", "title", "heading_path", "prefix", "body")}
+WEIGHTS = S.WEIGHTS
 KEY = ["doc_id", "ord"]
 
 
@@ -25,6 +25,14 @@ class Engine:
     chunk: DataFrame
     symbol: DataFrame
     vendordep: DataFrame
+    _index: S.Index | None = None
+
+    def index(self) -> S.Index:
+        """The stored index of the chunks, written at the first search."""
+        if self._index is None:
+            docs = self.chunk.withColumn("expand", T.expand(F.col("symbol"), F.col("title"), F.col("body")))
+            self._index = S.build_index(docs, KEY, WEIGHTS, ["season"])
+        return self._index
 
     def default_season(self) -> str:
         return X.default_season(self.chunk).first()[0] or ""
@@ -32,7 +40,7 @@ class Engine:
     def _ranked(self, query: str, d: Decision, season: str | None, language: str, libraries: list[str], kinds: list[str]) -> DataFrame:
         q = self.spark.createDataFrame([(0, query)], "query_id bigint, query string")
         terms = q.withColumn("terms", S.terms_of(F.col("query")))
-        scored = S.bm25(self.chunk, terms, KEY, WEIGHTS, ["season"])
+        scored = self.index().bm25(terms)
         ok = F.lit(True)
         if season:
             ok = ok & (F.col("season") == season)

@@ -23,6 +23,17 @@ ASKED = r"""(SELECT query_id, any_value(query ORDER BY asked_at DESC, query) AS
   any_value(language ORDER BY asked_at DESC, query) AS language FROM search_envelope WHERE query_id % 20 = 0 GROUP BY query_id)"""
 STOP = "(" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + ")"
 TOK = r"'[\p{L}\p{Nd}_]+'"
+# SQL of the same splits with an engine whose patterns know no look-around.
+PARTS = r"""list_transform(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(%s,
+  '(\p{Ll})(\p{Lu})', '\1_\2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1_\2', 'g'), '(\p{L})(\p{Nd})', '\1_\2', 'g'), '(\p{Nd})(\p{L})', '\1_\2', 'g'), '_+', '_', 'g'), '_'),
+  lambda x: x <> ''), lambda x: lower(x))"""
+#: The parts of each chunk's compound identifiers, where it has any: CTEs over ch0.
+EXPANDED = f"""
+toks AS (SELECT doc_id, ord, unnest(t) AS tok, generate_subscripts(t, 1) AS pos FROM (
+  SELECT doc_id, ord, regexp_extract_all(coalesce(symbol, '') || ' ' || coalesce(title, '') || ' ' || coalesce(body, ''), {TOK}) AS t FROM ch0)),
+parts AS (SELECT doc_id, ord, tok, pos, {PARTS % 'tok'} AS p FROM toks WHERE strlen(tok) >= 3),
+firsts AS (SELECT * FROM parts WHERE len(p) > 1 QUALIFY row_number() OVER (PARTITION BY doc_id, ord, lower(tok) ORDER BY pos) = 1),
+expanded AS (SELECT doc_id, ord, string_agg(array_to_string(p, ' '), ' ' ORDER BY pos) AS expand FROM firsts GROUP BY ALL)"""
 
 
 def last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pinfold.functions import names as N, text as T, vectors as V
 from pinfold.operators import search as S
 from pinfold.operators.vectors import topk
-from pinfold.queries.common import ASKED, CHUNKS, STOP, SYMBOLS, TOK, asked, chunks, symbols
+from pinfold.queries.common import ASKED, CHUNKS, EXPANDED, STOP, SYMBOLS, TOK, asked, chunks, symbols
 from pinfold.queries.registry import register
 from pinfold.session import table
 
 KEY = ["doc_id", "ord"]
-WEIGHTS = {c: S.WEIGHTS[c] for c in ("symbol", "title", "heading_path", "prefix", "body")}
+WEIGHTS = S.WEIGHTS
 TERMS3 = ["encoder", "brownout", "retries"]
 
 
@@ -28,7 +28,8 @@ def bm25_sql(queries: str, part: str = "") -> str:
     dl = " + ".join(f"len({tok % c})" for c in WEIGHTS)
     on = f"USING ({part})" if part else "ON true"
     return f"""
-WITH ch AS {CHUNKS}, asked AS (SELECT DISTINCT query_id, term FROM ({queries})),
+WITH ch0 AS {CHUNKS}, {EXPANDED},
+ch AS (SELECT c.*, coalesce(e.expand, '') AS expand FROM ch0 c LEFT JOIN expanded e USING (doc_id, ord)), asked AS (SELECT DISTINCT query_id, term FROM ({queries})),
 post AS (SELECT doc_id, ord, term, sum(w) AS f FROM ({every}) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
 size AS (SELECT doc_id, ord, {p}{dl} AS dl FROM ch),
 stats AS (SELECT {p}count(*) AS n, avg(dl) AS avgdl FROM size GROUP BY ALL),
@@ -47,6 +48,33 @@ QUERY_TERMS = f"""SELECT query_id, term FROM (
   WHERE term NOT IN {STOP} AND strlen(term) >= 2"""
 
 
+_INDEXES: dict[tuple[str, str], S.Index] = {}
+
+
+def stored_index(spark: SparkSession, sf: str) -> S.Index:
+    """The index of a folder's chunks by season, written once for a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        docs = chunks(spark, sf, "symbol", "title", "heading_path", "prefix", "body", "season")
+        docs = docs.withColumn("expand", T.expand(F.col("symbol"), F.col("title"), F.col("body")))
+        _INDEXES[key] = S.build_index(docs, KEY, WEIGHTS, ["season"])
+    return _INDEXES[key]
+
+
+@register(
+    "index_build",
+    bm25_sql("SELECT 0 AS query_id, '' AS term", "season").split("post AS (")[0]
+    + "every AS (" + " UNION ALL ".join(f"SELECT season, doc_id, ord, unnest(regexp_extract_all(strip_accents(lower(coalesce({c}, ''))), {TOK})) AS term FROM ch" for c in WEIGHTS) + """)
+SELECT season, count(DISTINCT doc_id || '#' || ord) AS items, count(DISTINCT term) AS terms, count(*) AS occurrences FROM every GROUP BY ALL""",
+)
+def index_build(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stored index holds by season: items with any term, distinct terms, occurrences."""
+    x = stored_index(spark, sf)
+    each = x.postings.select("season", *KEY, "dl").distinct().groupBy("season").agg(F.count("*").alias("items"), F.sum("dl").alias("occurrences"))
+    terms = x.terms.groupBy("season").agg(F.count("*").alias("terms")).withColumnRenamed("season", "s")
+    return each.join(terms, F.col("season").eqNullSafe(F.col("s"))).select("season", "items", "terms", "occurrences")
+
+
 def _three(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.col("id").alias("query_id"), F.array(*map(F.lit, TERMS3)).alias("terms"))
 
@@ -57,7 +85,7 @@ def _terms(queries: DataFrame) -> DataFrame:
 
 @register("bm25_topk", bm25_sql(THREE) + "SELECT doc_id, ord, score FROM scored ORDER BY score DESC, doc_id, ord LIMIT 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    found = S.bm25(chunks(spark, sf, *WEIGHTS), _three(spark), KEY, WEIGHTS)
+    found = stored_index(spark, sf).bm25(_three(spark), [])
     return found.select("doc_id", "ord", "score").orderBy(*_order()).limit(10)
 
 
@@ -67,8 +95,8 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     + "SELECT doc_id, ord, season, score FROM scored JOIN ch USING (doc_id, ord) WHERE lower(trim(language)) IN ('java', 'any') AND trust <> 'community' ORDER BY score DESC, doc_id, ord LIMIT 10",
 )
 def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    docs = chunks(spark, sf, *WEIGHTS, "season", "language", "trust")
-    found = S.bm25(docs, _three(spark), KEY, WEIGHTS, ["season"])
+    docs = chunks(spark, sf, "season", "language", "trust")
+    found = stored_index(spark, sf).bm25(_three(spark))
     ok = docs.filter(F.lower(F.trim("language")).isin("java", "any") & (F.col("trust") != "community")).select(*KEY, "season")
     return found.join(ok, KEY).select(*KEY, "season", "score").orderBy(*_order()).limit(10)
 
@@ -79,7 +107,7 @@ def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
     + "SELECT query_id, doc_id, ord, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ord) AS rank FROM scored QUALIFY rank <= 5",
 )
 def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
-    found = S.bm25(chunks(spark, sf, *WEIGHTS), _terms(asked(spark, sf)), KEY, WEIGHTS)
+    found = stored_index(spark, sf).bm25(_terms(asked(spark, sf)), [])
     return S.top(found, _order(), 5).select("query_id", *KEY, "score", "rank")
 
 
@@ -352,9 +380,9 @@ def search_batch(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: a batch of queries, each within its pinned season and language, lexical and exact symbol lists fused,
     boosted and diversified. The season restricts candidates before they are ranked, so versions never blend."""
     q = asked(spark, sf).withColumnsRenamed({"season": "pin", "language": "wanted"})
-    docs = chunks(spark, sf, *WEIGHTS, "season", "language", "trust", "kind", "suspect", "channel")
+    docs = chunks(spark, sf, "season", "language", "trust", "kind", "suspect", "channel")
     visible = docs.filter("trust <> 'community'").select(*KEY, "season", F.lower(F.trim("language")).alias("language"), "trust", F.lower(F.trim("kind")).alias("kind"), F.coalesce("suspect", F.lit(False)).alias("suspect"))
-    scored = S.bm25(docs, _terms(q.select("query_id", "query")), KEY, WEIGHTS, ["season"])
+    scored = stored_index(spark, sf).bm25(_terms(q.select("query_id", "query")))
     mine = F.col("wanted").isNull() | (F.col("wanted") == "any") | (F.col("language") == F.col("wanted")) | (F.col("language") == "any")
     lex = S.top(scored.join(q, "query_id").join(visible, KEY).filter((F.col("season") == F.col("pin")) & mine).select("query_id", *KEY, "score"), _order(), S.DEPTH)
     idents = q.select("query_id", "pin", F.explode(F.array_distinct(F.transform(T.tokens(F.col("query")), F.lower))).alias("name"))

@@ -5,33 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pinfold.functions import names as N, sanitize as Z, text as T, versions as V
-from pinfold.queries.common import CATALOG, CHUNKS, STOP, TOK, catalog, chunks
+from pinfold.queries.common import CATALOG, CHUNKS, EXPANDED, PARTS, STOP, TOK, catalog, chunks
 from pinfold.queries.registry import register
 from pinfold.session import table
 
-# SQL of the same splits with an engine whose patterns know no look-around.
-PARTS = r"""list_transform(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(%s,
-  '(\p{Ll})(\p{Lu})', '\1_\2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1_\2', 'g'), '(\p{L})(\p{Nd})', '\1_\2', 'g'), '(\p{Nd})(\p{L})', '\1_\2', 'g'), '_+', '_', 'g'), '_'),
-  lambda x: x <> ''), lambda x: lower(x))"""
-
-
 @register("token_counts", f"SELECT lower(trim(lang)) AS lang, count(*) AS n, sum(len(regexp_extract_all(coalesce(text, ''), {TOK}))) AS tokens FROM documents GROUP BY ALL")
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     return d.groupBy(F.lower(F.trim("lang")).alias("lang")).agg(F.count("*").alias("n"), F.sum(F.size(T.tokens(F.coalesce("text", F.lit(""))))).alias("tokens"))
 
 
-@register(
-    "expand_idents",
-    f"""
-WITH ch AS {CHUNKS},
-toks AS (SELECT doc_id, ord, unnest(t) AS tok, generate_subscripts(t, 1) AS pos FROM (
-  SELECT doc_id, ord, regexp_extract_all(coalesce(symbol, '') || ' ' || coalesce(title, '') || ' ' || coalesce(body, ''), {TOK}) AS t FROM ch)),
-parts AS (SELECT doc_id, ord, tok, pos, {PARTS % 'tok'} AS p FROM toks WHERE strlen(tok) >= 3),
-firsts AS (SELECT * FROM parts WHERE len(p) > 1 QUALIFY row_number() OVER (PARTITION BY doc_id, ord, lower(tok) ORDER BY pos) = 1)
-SELECT c.doc_id, c.ord, coalesce(e.expand, '') AS expand FROM ch c LEFT JOIN (
-  SELECT doc_id, ord, string_agg(array_to_string(p, ' '), ' ' ORDER BY pos) AS expand FROM firsts GROUP BY ALL) e USING (doc_id, ord)""",
-)
+@register("expand_idents", f"WITH ch0 AS {CHUNKS}, {EXPANDED} SELECT c.doc_id, c.ord, coalesce(e.expand, '') AS expand FROM ch0 c LEFT JOIN expanded e USING (doc_id, ord)")
 def expand_idents(spark: SparkSession, sf: str) -> DataFrame:
     return chunks(spark, sf, "symbol", "title", "body").select("doc_id", "ord", T.expand(F.col("symbol"), F.col("title"), F.col("body")).alias("expand"))
 
