@@ -79,7 +79,7 @@ class Engine:
 
     def search(self, query: str, season: str = "", language: str = "", libraries: list[str] | None = None, kinds: list[str] | None = None, k: int = 5) -> tuple[str, DataFrame]:
         """(status, hits). The season is the argument's, else the query's, else the default; hits are of that season only,
-        unless the status is version_mismatch, whose hits are of others."""
+        unless the status is version_mismatch, which has up to five of others beside up to three of that season."""
         if not query.strip() or not 1 <= k <= S.DEPTH:
             raise ValueError("a query is needed, and 1 to 50 hits")
         d = decide(query)
@@ -92,7 +92,7 @@ class Engine:
         other = self._ranked(query, d, None, lang, libraries or [], kinds or []).filter(F.col("season") != pin)
         elsewhere = self._confidence(query, other)
         if elsewhere is not None and (sure is None or elsewhere >= S.STRONG):
-            return "version_mismatch", self._hydrate(other, S.OTHERS)
+            return "version_mismatch", self._hydrate(own, min(k, S.ABSTAIN)).unionByName(self._hydrate(other, S.OTHERS))
         return ("no_match", own.limit(0)) if sure is None else ("low_confidence", self._hydrate(own, min(k, S.ABSTAIN)))
 
     def _confidence(self, query: str, ranked: DataFrame) -> float | None:

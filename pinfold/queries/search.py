@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pinfold.functions import names as N, text as T, vectors as V
 from pinfold.operators import search as S
 from pinfold.operators.vectors import topk
 from pinfold.queries.common import ASKED, CHUNKS, EXPANDED, STOP, SYMBOLS, TOK, asked, chunks, symbols
 from pinfold.queries.registry import register
+from pinfold.scratch import materialize
 from pinfold.session import table
 
 KEY = ["doc_id", "ord"]
@@ -271,8 +272,6 @@ conf AS (
 
 def _confidence(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, pinned, cover, confidence) of the first hit in the pinned season and outside it."""
-    from pyspark.sql import Window
-
     d = _diverse(spark, sf).withColumn("pinned", F.col("season").eqNullSafe(F.col("pin")))
     w = Window.partitionBy("query_id", "pinned").orderBy("rank")
     two = d.withColumns({"r": F.row_number().over(w), "s2": F.lead("score").over(w)}).filter("r = 1")
@@ -313,19 +312,17 @@ def status_machine(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "page_by_status",
     STATUS
-    + """SELECT query_id, id, status, score, place FROM (
+    + """SELECT query_id, id, status, pinned, score, place FROM (
   SELECT d.query_id, d.id, j.status, d.score, d.season IS NOT DISTINCT FROM d.pin AS pinned,
     row_number() OVER (PARTITION BY d.query_id, d.season IS NOT DISTINCT FROM d.pin ORDER BY rank) AS place FROM diverse d JOIN judged j USING (query_id))
-WHERE pinned = (status <> 'version_mismatch') AND place <= CASE status WHEN 'ok' THEN 5 WHEN 'low_confidence' THEN 3 WHEN 'version_mismatch' THEN 5 ELSE 0 END""",
+WHERE place <= CASE WHEN pinned THEN CASE status WHEN 'ok' THEN 5 WHEN 'low_confidence' THEN 3 WHEN 'version_mismatch' THEN 3 ELSE 0 END WHEN status = 'version_mismatch' THEN 5 ELSE 0 END""",
 )
 def page_by_status(spark: SparkSession, sf: str) -> DataFrame:
-    """The hits each status shows, never of two versions: the pinned one's, or others' where that is the answer."""
-    from pyspark.sql import Window
-
+    """The hits each status shows: the pinned version's, and others' beside few of them where that is the answer."""
     d = _diverse(spark, sf).withColumn("pinned", F.col("season").eqNullSafe(F.col("pin")))
     d = d.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "pinned").orderBy("rank")))
     rows = d.join(_status(spark, sf).select("query_id", "status"), "query_id")
-    return rows.filter((F.col("pinned") == (F.col("status") != "version_mismatch")) & (F.col("place") <= S.shown(F.col("status"), 5))).select("query_id", "id", "status", "score", "place")
+    return rows.filter(F.col("place") <= S.shown(F.col("status"), F.col("pinned"), 5)).select("query_id", "id", "status", "pinned", "score", "place")
 
 
 @register(
@@ -398,3 +395,85 @@ def search_batch(spark: SparkSession, sf: str) -> DataFrame:
     factor = S.boost({"symbol_hit": F.col("hit"), "named": no, "library_hit": no, "trust": F.col("trust"), "kind": F.col("kind"), "intent": F.lit("general"), "suspect": F.col("suspect"), "alpha_penalty": no})
     boosted = rows.withColumn("score", F.round(F.col("score") * factor, 9))
     return S.diversify(boosted, ["doc_id"], _order(), k=5).select("query_id", *KEY, "season", "hit", "score", "rank")
+
+
+PAGES = (
+    SEARCH.split("lex AS (")[0]
+    + f"""
+lex AS (
+  SELECT s.query_id, v.season = q.season AS pinned, s.doc_id, s.ord, row_number() OVER (PARTITION BY s.query_id, v.season = q.season ORDER BY s.score DESC, s.doc_id, s.ord) AS rank
+  FROM scored s JOIN q USING (query_id) JOIN visible v USING (doc_id, ord)
+  WHERE v.season IS NOT NULL AND q.season IS NOT NULL AND (q.language IS NULL OR q.language = 'any' OR v.language IN (q.language, 'any')) QUALIFY rank <= 50),
+named AS (
+  SELECT DISTINCT i.query_id, s.season, regexp_replace(trim(s.chunk_id), '#[0-9]+$', '') AS doc_id, TRY_CAST(regexp_extract(trim(s.chunk_id), '#([0-9]{{1,9}})$', 1) AS INT) AS ord
+  FROM ({IDENTS}) i JOIN sy s
+    ON lower(CASE WHEN contains(s.fqn, '#') THEN regexp_extract(s.fqn, '([^#]*)$', 1) ELSE regexp_extract(s.fqn, '([^.:]*)$', 1) END) = i.name
+  WHERE regexp_matches(s.chunk_id, '#[0-9]{{1,9}}\\s*$')),
+sym AS (SELECT n.query_id, v.season = q.season AS pinned, n.doc_id, n.ord, row_number() OVER (PARTITION BY n.query_id, v.season = q.season ORDER BY n.doc_id, n.ord) AS rank
+  FROM named n JOIN visible v USING (doc_id, ord, season) JOIN q USING (query_id) WHERE q.season IS NOT NULL QUALIFY rank <= 50),
+fused AS (SELECT query_id, pinned, doc_id, ord, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, bool_or(hit) AS hit, count(*) AS lists
+  FROM (SELECT *, false AS hit FROM lex UNION ALL SELECT *, true FROM sym) GROUP BY ALL),
+boosted AS (
+  SELECT f.query_id, pinned, doc_id, ord, v.season, hit, lists, q.query, round(f.score * CASE WHEN hit THEN 2.0 ELSE 1.0 END::DOUBLE
+    * CASE WHEN trust = 'official' THEN 1.2 WHEN trust = 'vendor' THEN 1.1 ELSE 1.0 END::DOUBLE
+    * CASE WHEN kind = 'code' AND regexp_matches(lower(q.query), '^(how|what)|how to') THEN 1.2 ELSE 1.0 END::DOUBLE
+    * CASE WHEN kind = 'api' THEN 0.5 ELSE 1.0 END::DOUBLE * CASE WHEN kind = 'forum' THEN 0.7 ELSE 1.0 END::DOUBLE
+    * CASE WHEN suspect THEN 0.3 ELSE 1.0 END::DOUBLE * CASE WHEN channel = 'alpha' THEN 0.5 ELSE 1.0 END::DOUBLE, 9) AS score
+  FROM fused f JOIN visible v USING (doc_id, ord) JOIN q USING (query_id)),
+diverse AS (SELECT *, row_number() OVER (PARTITION BY query_id, pinned ORDER BY score DESC, doc_id, ord) AS rank
+  FROM (SELECT * FROM boosted QUALIFY row_number() OVER (PARTITION BY query_id, pinned, doc_id ORDER BY score DESC, doc_id, ord) <= 2) QUALIFY rank <= 50),
+terms AS (SELECT query_id, list_distinct(list_filter(list_transform(regexp_extract_all(query, {TOK}), lambda x: lower(x)), lambda x: x NOT IN {STOP} AND strlen(x) >= 2)) AS terms FROM q),
+tops AS (
+  SELECT d.query_id, pinned, max(d.score) FILTER (rank = 1) AS s1, max(d.score) FILTER (rank = 2) AS s2, bool_or(hit) FILTER (rank = 1) AS symbol, max(lists) FILTER (rank = 1) AS lists,
+    max(CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda t: contains(lower(concat_ws(chr(10), title, heading_path, symbol, body)), t))) / len(terms) ELSE 0 END) FILTER (rank = 1) AS cover
+  FROM diverse d JOIN terms USING (query_id) JOIN ch USING (doc_id, ord) WHERE rank <= 2 GROUP BY ALL),
+conf AS (
+  SELECT query_id, pinned, round(1 / (1 + exp(-(-3.0 + 2.0 * least(s1 / (lists / 61.0 * 1.2 * CASE WHEN lists > 1 THEN 2 ELSE 1 END), 1.0) + 3.0 * cover
+    + least(CASE WHEN s2 IS NULL OR s1 <= 0 THEN 0 ELSE (s1 - s2) / s1 END, 1.0) + CASE WHEN symbol THEN 1.5 ELSE 0 END))), 6) AS confidence FROM tops),
+pair AS (SELECT query_id, max(confidence) FILTER (pinned) AS own, max(confidence) FILTER (NOT pinned) AS other FROM conf GROUP BY query_id),
+judged AS (
+  SELECT q.query_id, CASE WHEN (own IS NULL OR own < 0.35) AND other IS NOT NULL AND (own IS NULL OR other >= 0.6) THEN 'version_mismatch'
+    WHEN own IS NULL THEN 'no_match' WHEN own < 0.35 THEN 'low_confidence' ELSE 'ok' END AS status FROM q LEFT JOIN pair USING (query_id))
+SELECT j.query_id, j.status, d.pinned, d.rank, d.doc_id, d.ord, d.season, d.score
+FROM judged j LEFT JOIN diverse d ON d.query_id = j.query_id AND
+  d.rank <= CASE WHEN d.pinned THEN CASE status WHEN 'ok' THEN 5 WHEN 'low_confidence' THEN 3 WHEN 'version_mismatch' THEN 3 ELSE 0 END WHEN status = 'version_mismatch' THEN 5 ELSE 0 END
+"""
+)
+
+
+@register("search_pages", PAGES)
+def search_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole search of a batch in one plan: candidates of the pinned season and of the others side by side, each fused,
+    boosted, diversified and judged, then the page that the status lets through. A query without hits has one row."""
+    q = asked(spark, sf).withColumnsRenamed({"season": "pin", "language": "wanted"})
+    docs = chunks(spark, sf, "season", "language", "trust", "kind", "suspect", "channel", "title", "heading_path", "symbol", "body")
+    visible = docs.filter("trust <> 'community' AND season IS NOT NULL").select(*KEY, "season", F.lower(F.trim("language")).alias("language"), "trust", F.lower(F.trim("kind")).alias("kind"), F.coalesce("suspect", F.lit(False)).alias("suspect"), "channel")
+    part = ("query_id", "pinned")
+    pinned = (F.col("season") == F.col("pin")).alias("pinned")
+    pins = q.select("query_id", "pin", "wanted").filter("pin IS NOT NULL")
+    scored = stored_index(spark, sf).bm25(_terms(q.select("query_id", "query")))
+    mine = F.col("wanted").isNull() | (F.col("wanted") == "any") | (F.col("language") == F.col("wanted")) | (F.col("language") == "any")
+    lex = S.top(scored.join(pins, "query_id").join(visible, KEY).filter(mine).select("query_id", pinned, *KEY, "score"), _order(), S.DEPTH, part=part)
+    idents = q.select("query_id", F.explode(F.array_distinct(F.transform(T.tokens(F.col("query")), F.lower))).alias("name"))
+    at = N.parse_chunk_id(F.trim("chunk_id"))
+    known = symbols(spark, sf).select("season", F.lower(N.simple_name(F.col("fqn"))).alias("name"), at["doc_id"].alias("doc_id"), at["ord"].alias("ord")).filter("ord IS NOT NULL")
+    named = idents.join(known, "name").select("query_id", "season", *KEY).distinct().join(visible, [*KEY, "season"]).join(pins, "query_id").select("query_id", pinned, *KEY)
+    sym = S.top(named, [F.col("doc_id"), F.col("ord")], S.DEPTH, part=part)
+    lists = lex.select(*part, *KEY, "rank", F.lit(False).alias("hit")).unionByName(sym.select(*part, *KEY, "rank", F.lit(True).alias("hit")))
+    fused = lists.groupBy(*part, *KEY).agg(F.round(F.sum(F.lit(1.0) / (S.RRF + F.col("rank"))), 9).alias("score"), F.bool_or("hit").alias("hit"), F.count("*").alias("lists"))
+    no = F.lit(False)
+    rows = fused.join(visible, KEY).join(q.select("query_id", "query"), "query_id")
+    factor = S.boost({
+        "symbol_hit": F.col("hit"), "named": no, "library_hit": no, "trust": F.col("trust"), "kind": F.col("kind"), "suspect": F.col("suspect"),
+        "intent": F.when(F.lower("query").rlike("^(how|what)|how to"), "howto").otherwise("general"), "alpha_penalty": F.col("channel") == "alpha",
+    })
+    diverse = materialize(S.diversify(rows.withColumn("score", F.round(F.col("score") * factor, 9)), ["doc_id"], _order(), part=part).select(*part, "rank", *KEY, "season", "score", "hit", "lists", "query"), "ranked")
+    w = Window.partitionBy(*part).orderBy("rank")
+    first = diverse.filter("rank <= 2").withColumn("s2", F.lead("score").over(w)).filter("rank = 1").join(docs.select(*KEY, "title", "heading_path", "symbol", "body"), KEY)
+    cover = S.coverage(T.content_terms(F.col("query")), *[F.col(c) for c in ("title", "heading_path", "symbol", "body")])
+    gap = F.when(F.col("s2").isNull() | (F.col("score") <= 0), 0.0).otherwise((F.col("score") - F.col("s2")) / F.col("score"))
+    sure = first.select(*part, F.round(S.confidence(F.col("score"), F.col("lists"), cover, gap, F.col("hit")), 6).alias("c"))
+    pair = sure.groupBy("query_id").agg(F.max(F.when(F.col("pinned"), F.col("c"))).alias("own"), F.max(F.when(~F.col("pinned"), F.col("c"))).alias("other"))
+    judged = q.select("query_id").join(pair, "query_id", "left").select("query_id", S.status(F.col("own"), F.col("other")).alias("status"))
+    page = diverse.select("query_id", "pinned", "rank", *KEY, "season", "score").join(judged, "query_id").filter(F.col("rank") <= S.shown(F.col("status"), F.col("pinned"), 5)).drop("status")
+    return judged.join(page, "query_id", "left").select("query_id", "status", "pinned", "rank", *KEY, "season", "score")
