@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pinfold.operators.orphans import OrphanState
@@ -72,27 +72,58 @@ def merged_counts(stream: DataFrame, when: str, labels: list[str], value: str, w
     return held[0]
 
 
-def token_bucket(stream: DataFrame, client: str, when: str, rate: float, burst: float) -> DataFrame:
-    """Requests as allowed or not, one bucket (two numbers) of state per client. There is no timeout by the clock: it would
-    keep a run over what is there from ever ending."""
+def token_bucket(stream: DataFrame, client: str, when: str, rate: float, burst: float, late: str = "1 hour") -> DataFrame:
+    """Requests as allowed or not, one bucket (two numbers) of state per client.
+
+    A bucket that has been idle for as long as it takes to fill is like a new one, so its state goes as soon as the
+    watermark has passed that time: the state holds the clients of the last ``late`` and that time only. Event time, not
+    the clock, decides, so a run over what is there ends. Requests that come later than ``late`` are left out.
+    """
     ship(stream.sparkSession)
-    rows = stream.select(F.col(client).cast("string").alias("client"), "id", (F.unix_micros(F.col(when).cast("timestamp")) / 1e6).alias("at")).filter("client IS NOT NULL AND at IS NOT NULL")
+    at = F.col(when).cast("timestamp")
+    rows = stream.select(F.col(client).cast("string").alias("client"), "id", at.alias("__t"), (F.unix_micros(at) / 1e6).alias("at")).filter("client IS NOT NULL AND __t IS NOT NULL")
+    idle = burst / rate
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         left, last = state.get if state.exists else (burst, None)
         pdf = pd.concat(list(frames)).sort_values(["at", "id"])
         ok, tokens = [], []
-        for at in pdf["at"].tolist():
+        for t in pdf["at"].tolist():
             if last is not None:
-                left = min(burst, left + max(at - last, 0.0) * rate)
-            last = at
+                left = min(burst, left + max(t - last, 0.0) * rate)
+            last = t if last is None else max(t, last)
             ok.append(left >= 1)
             left -= 1 if ok[-1] else 0
             tokens.append(round(left, 6))
         state.update((left, last))
+        state.setTimeoutTimestamp(max(int((last + idle) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": pdf["client"], "id": pdf["id"], "allowed": ok, "tokens": tokens})
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.groupBy("client").applyInPandasWithState(step, f"client string, id {kind}, allowed boolean, tokens double", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+    return rows.withWatermark("__t", late).groupBy("client").applyInPandasWithState(step, f"client string, id {kind}, allowed boolean, tokens double", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def polite(requests: DataFrame, cached: DataFrame, url: str, when: str, source: str, floors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fetch, kept): which requests go out, and what is served from what was fetched before.
+
+    ``cached`` (url, fetched_at) says when each page was fetched last, ``floors`` (source, min_interval_s) how long a source
+    must be left alone between two fetches of one page. A request sooner than that is served from the cache; of several
+    in a batch the earliest goes out and the others are judged by it. Requests of sources without a floor go out.
+    """
+    r = requests.join(floors, source, "left").join(cached.groupBy(url).agg(F.max("fetched_at").alias("fetched_at")), url, "left")
+    floor = F.coalesce("min_interval_s", F.lit(0))
+    w = Window.partitionBy(url).orderBy(when)
+    before = lambda t: F.unix_micros(F.col(when)) - F.unix_micros(t) < floor * 1_000_000
+    young = F.coalesce(before(F.col("fetched_at")), F.lit(False))
+    judged = r.withColumn("__y", young)
+    first = F.min(F.when(~F.col("__y"), F.col(when))).over(Window.partitionBy(url))
+    judged = judged.withColumns({"__f": first, "__n": F.row_number().over(w)})
+    sooner = F.col("__y") | ((F.col(when) > F.col("__f")) & F.coalesce(before(F.col("__f")), F.lit(False)))
+    out = judged.withColumn("__s", sooner).drop("__y", "__f", "__n", "fetched_at", "min_interval_s")
+    return out.filter(~F.col("__s")).drop("__s"), out.filter("__s").drop("__s")
 
 
 def orphans(stream: DataFrame, start: OrphanState, report: Callable[[OrphanState, int], None]) -> OrphanState:
