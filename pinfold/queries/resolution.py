@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pinfold.functions import names as N, parts as P
-from pinfold.operators import hardware as H, resolution as R
-from pinfold.queries.common import CHUNKS, SYMBOLS, chunks, symbols
+from pinfold.operators import hardware as H, projects as J, resolution as R
+from pinfold.queries.common import CATALOG, CHUNKS, SYMBOLS, catalog, chunks, symbols
 from pinfold.queries.registry import register
 from pinfold.session import table
 
@@ -296,3 +296,31 @@ def hardware_errors(spark: SparkSession, sf: str) -> DataFrame:
     rows = _hardware(spark, sf).withColumns({"license": F.lit("CC0-1.0"), "trust": F.lit("vendor"), "source_url": F.when(F.col("season") == H.ALWAYS, "ftp://x").otherwise("https://x"), "kg": kg})
     rows = rows.withColumn("fields", F.when(F.col("kg") < 905, empty).when(F.col("kg") > 1500, F.create_map(F.lit("mass"), "kg")).otherwise(F.col("fields")))
     return rows.groupBy(H.spec_errors().alias("error")).agg(F.count("*").alias("n"))
+
+
+@register("project_pins", f"""
+WITH c AS (SELECT * FROM {CATALOG}), p AS (SELECT uuid AS project, max(season) AS s, length(min(name)) % 4 AS k FROM c GROUP BY uuid),
+v AS (SELECT project, k, s || CASE WHEN k = 2 THEN '.1.1-beta-2' ELSE '.1.1' END AS version, s FROM p WHERE k < 4),
+d AS (SELECT uuid AS project, 'vendordeps/' || version || '-' || season || '.json' AS path, raw_json->>'$.name' AS name, raw_json->>'$.version' AS version, coalesce(raw_json->>'$.frcYear', '') AS year FROM c),
+e AS (SELECT d.*, CASE WHEN regexp_matches(year, '^20[23][0-9]([^0-9]|$)') THEN substr(year, 1, 4) ELSE '' END AS declared FROM d),
+g AS (SELECT project, string_agg(concat_ws(' ', e.name, e.version), ', ' ORDER BY path) AS installed, string_agg(CASE WHEN declared <> '' AND declared <> v.s AND k <> 3 AND regexp_matches(v.s, '^20[23][0-9]') THEN path || ': declares ' || year END, ', ' ORDER BY path) AS years FROM e JOIN v USING (project) GROUP BY ALL)
+SELECT project, CASE WHEN k = 3 THEN '' ELSE v.version END AS version, CASE WHEN k = 3 THEN '' ELSE regexp_extract(v.version, '^(20[23][0-9])', 1) END AS season, CASE k WHEN 3 THEN '' WHEN 2 THEN 'beta' ELSE 'stable' END AS channel,
+  CASE k WHEN 0 THEN 'java' WHEN 1 THEN 'cpp' WHEN 2 THEN 'python' ELSE 'java' END AS language, installed, concat_ws(', ', CASE WHEN k = 3 THEN 'build.gradle.kts: version not found' END, years) AS warnings FROM v JOIN g USING (project)""")
+def project_pins(spark: SparkSession, sf: str) -> DataFrame:
+    """Each library of the catalog as a project with its versions installed: pinned in the build file, in the properties, by
+    Python, or nowhere."""
+    c = catalog(spark, sf)
+    p = c.groupBy(F.col("uuid").alias("project")).agg(F.max("season").alias("s"), (F.length(F.min("name")) % 4).alias("k"))
+    version = F.concat("s", F.when(F.col("k") == 2, ".1.1-beta-2").otherwise(".1.1"))
+    plugin = 'plugins { id "edu.wpi.first.GradleRIO"'
+    file = lambda path, *text: F.struct(F.lit(path).alias("path"), F.concat(*text).alias("text"))
+    own = (
+        F.when(F.col("k") == 0, F.array(file("build.gradle", F.lit(f'{plugin} version "'), version, F.lit('" }')), file("build.gradle.kts", F.lit("nothing"))))
+        .when(F.col("k") == 1, F.array(file("build.gradle", F.lit(f"{plugin} }}")), file("gradle.properties", F.lit("a=b\nwpilibVersion = "), version, F.lit("\n")), file("src/main/cpp/a.cpp", F.lit(""))))
+        .when(F.col("k") == 2, F.array(file("pyproject.toml", F.lit('[tool]\nrobotpy_version = "'), version, F.lit('"\n'))))
+        .otherwise(F.array(file("build.gradle.kts", F.lit('id("org.wpilib.GradleRIO")'))))
+    )
+    files = p.select("project", F.explode(own).alias("f")).select("project", "f.*")
+    deps = c.select(F.col("uuid").alias("project"), F.concat(F.lit("vendordeps/"), "version", F.lit("-"), "season", F.lit(".json")).alias("path"), F.col("raw_json").alias("text"))
+    got = J.detect(files.unionByName(deps))
+    return got.select("project", "version", "season", "channel", "language", F.array_join("installed", ", ").alias("installed"), F.array_join("warnings", ", ").alias("warnings"))

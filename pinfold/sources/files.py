@@ -40,8 +40,11 @@ def publish(tables: dict[str, DataFrame], root: str, partition_by: dict[str, lis
     out = fs.create(fs_path(f"{root}/current.tmp"), True)
     out.write(bytearray(json.dumps({"version": version, "tables": sorted(tables)}).encode()))
     out.close()
-    fs.delete(fs_path(f"{root}/current"), False)
-    fs.rename(fs_path(f"{root}/current.tmp"), fs_path(f"{root}/current"))
+    how = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(how, 1)
+    over[0] = how.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs_path(root).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs_path(f"{root}/current.tmp"), fs_path(f"{root}/current"), over)  # readers meet the old or the new one
     return version
 
 

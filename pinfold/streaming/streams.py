@@ -114,15 +114,14 @@ def polite(requests: DataFrame, cached: DataFrame, url: str, when: str, source:
     in a batch the earliest goes out and the others are judged by it. Requests of sources without a floor go out.
     """
     r = requests.join(floors, source, "left").join(cached.groupBy(url).agg(F.max("fetched_at").alias("fetched_at")), url, "left")
-    floor = F.coalesce("min_interval_s", F.lit(0))
-    w = Window.partitionBy(url).orderBy(when)
+    floor = F.coalesce("min_interval_s", F.lit(0)).cast("bigint")
     before = lambda t: F.unix_micros(F.col(when)) - F.unix_micros(t) < floor * 1_000_000
     young = F.coalesce(before(F.col("fetched_at")), F.lit(False))
     judged = r.withColumn("__y", young)
     first = F.min(F.when(~F.col("__y"), F.col(when))).over(Window.partitionBy(url))
-    judged = judged.withColumns({"__f": first, "__n": F.row_number().over(w)})
+    judged = judged.withColumn("__f", first)
     sooner = F.col("__y") | ((F.col(when) > F.col("__f")) & F.coalesce(before(F.col("__f")), F.lit(False)))
-    out = judged.withColumn("__s", sooner).drop("__y", "__f", "__n", "fetched_at", "min_interval_s")
+    out = judged.withColumn("__s", sooner).drop("__y", "__f", "fetched_at", "min_interval_s")
     return out.filter(~F.col("__s")).drop("__s"), out.filter("__s").drop("__s")
 
 
