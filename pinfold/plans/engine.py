@@ -6,12 +6,12 @@ import base64
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from pinfold.functions import names as N, text as T
 from pinfold.operators import facts as X, search as S, symbols as Y
 from pinfold.plans import code as C
-from pinfold.plans.router import Decision, decide
+from pinfold.plans.router import route
 
 WEIGHTS = S.WEIGHTS
 KEY = ["doc_id", "ord"]
@@ -37,7 +37,7 @@ class Engine:
     def default_season(self) -> str:
         return X.default_season(self.chunk).first()[0] or ""
 
-    def _ranked(self, query: str, d: Decision, season: str | None, language: str, libraries: list[str], kinds: list[str]) -> DataFrame:
+    def _ranked(self, query: str, d: Row, season: str | None, language: str, libraries: list[str], kinds: list[str]) -> DataFrame:
         q = self.spark.createDataFrame([(0, query)], "query_id bigint, query string")
         terms = q.withColumn("terms", S.terms_of(F.col("query")))
         scored = self.index().bm25(terms)
@@ -72,8 +72,8 @@ class Engine:
             hit = F.coalesce("__h", F.lit(False))
         rows = fused.join(visible, KEY).withColumn("symbol_hit", hit)
         factor = S.boost({
-            "symbol_hit": F.col("symbol_hit"), "named": F.lit(bool(d.libraries)), "library_hit": F.col("library").isin(sorted(d.libraries)) if d.libraries else F.lit(False), "trust": F.col("trust"),
-            "kind": F.lower(F.trim("kind")), "intent": F.lit(d.intent), "suspect": F.col("suspect"), "alpha_penalty": (F.col("channel") == "alpha") & F.lit(not d.season),
+            "symbol_hit": F.col("symbol_hit"), "named": F.lit(bool(d.libraries)), "library_hit": F.col("library").isin(d.libraries) if d.libraries else F.lit(False), "trust": F.col("trust"),
+            "kind": F.lower(F.trim("kind")), "intent": F.lit(d.intent), "suspect": F.col("suspect"), "alpha_penalty": (F.col("channel") == "alpha") & F.lit(not d.asked_season),
         })
         return S.diversify(rows.withColumn("score", F.col("score") * factor), ["doc_id"], order)
 
@@ -82,9 +82,9 @@ class Engine:
         unless the status is version_mismatch, which has up to five of others beside up to three of that season."""
         if not query.strip() or not 1 <= k <= S.DEPTH:
             raise ValueError("a query is needed, and 1 to 50 hits")
-        d = decide(query)
-        pin = season or d.season or self.default_season()
-        lang = language or d.language
+        d = route(self.spark.createDataFrame([(query,)], "query string")).first()
+        pin = season or d.asked_season or self.default_season()
+        lang = language or d.asked_language
         own = self._ranked(query, d, pin, lang, libraries or [], kinds or [])
         sure = self._confidence(query, own)
         if sure is not None and sure >= S.LOW:

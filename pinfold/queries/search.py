@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pinfold.functions import names as N, text as T, vectors as V
 from pinfold.operators import search as S
 from pinfold.operators.vectors import topk
+from pinfold.plans.router import route
 from pinfold.queries.common import ASKED, CHUNKS, EXPANDED, STOP, SYMBOLS, TOK, asked, chunks, symbols
 from pinfold.queries.registry import register
 from pinfold.scratch import materialize
@@ -477,3 +478,10 @@ def search_pages(spark: SparkSession, sf: str) -> DataFrame:
     judged = q.select("query_id").join(pair, "query_id", "left").select("query_id", S.status(F.col("own"), F.col("other")).alias("status"))
     page = diverse.select("query_id", "pinned", "rank", *KEY, "season", "score").join(judged, "query_id").filter(F.col("rank") <= S.shown(F.col("status"), F.col("pinned"), 5)).drop("status")
     return judged.join(page, "query_id", "left").select("query_id", "status", "pinned", "rank", *KEY, "season", "score")
+
+
+@register("routed_queries", None)
+def routed_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """What every query asks for."""
+    r = route(table(spark, sf, "search_envelope").select("query_id", "asked_at", "query"))
+    return r.select("query_id", "asked_at", "intent", F.array_join("identifiers", " ").alias("identifiers"), F.array_join("libraries", " ").alias("libraries"), "asked_season", "asked_language", "non_english")

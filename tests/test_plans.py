@@ -5,19 +5,33 @@ import pytest
 from pinfold.functions import versions as V
 from pinfold.plans import code as C
 from pinfold.plans.engine import Engine, decode_cursor, decode_pin, encode_cursor, encode_pin
-from pinfold.plans.router import decide
+from pinfold.plans.router import route
 from pinfold.queries.common import catalog, chunks, symbols
 
 SYM = "fqn string, library string, version string, season string, language string, kind string, signature string, deprecated_in string, replacement string, chunk_id string"
 
 
-def test_decisions():
-    d = decide("How do I configure current limits and inversion on a TalonFX?")
-    assert (d.intent, d.identifiers, d.libraries) == ("howto", ["TalonFX"], {"phoenix6"})
-    assert decide("migrate from 2026 to 2027").season == "2027" and decide("REVLib 2024 or older").season == "" and decide("what changed in 2027").season == "2027"
-    assert decide("phoenix 5 vs phoenix 6 talonfx").libraries == {"phoenix5"}
-    assert decide("frc::SwerveDrive Set").language == "cpp" and decide("SwerveDriveKinematics").intent == "symbol" and decide("NullPointerException on enable").intent == "troubleshoot"
-    assert decide("motor için nasıl").non_english and not decide("motor").non_english and decide("").intent == "general"
+ROUTED = {  # text: what is expected of it
+    "How do I configure current limits and inversion on a TalonFX?": {"intent": "howto", "identifiers": ["TalonFX"], "libraries": ["phoenix6"]},
+    "migrate from 2026 to 2027": {"asked_season": "2027"},
+    "REVLib 2024 or older": {"asked_season": "", "libraries": ["revlib"]},
+    "what changed in 2027": {"asked_season": "2027"},
+    "phoenix 5 vs phoenix 6 talonfx": {"libraries": ["phoenix5"]},
+    "frc::SwerveDrive Set": {"asked_language": "cpp"},
+    "com.a.b.Motor": {"asked_language": "java", "identifiers": ["com.a.b.Motor"]},
+    "SwerveDriveKinematics": {"intent": "symbol"},
+    "NullPointerException on enable": {"intent": "troubleshoot"},
+    "motor için nasıl": {"non_english": True},
+    "motor": {"non_english": False, "identifiers": [], "libraries": []},
+    "": {"intent": "general", "asked_season": "", "asked_language": "", "non_english": False},
+    None: {"intent": "general", "identifiers": []},
+}
+
+
+def test_routes(spark):
+    got = {r.query: r for r in route(spark.createDataFrame([(t,) for t in ROUTED], "query string")).collect()}
+    for text, want in ROUTED.items():
+        assert {k: got[text][k] for k in want} == want, text
 
 
 VERSIONS = ["26.0.0", "26.1.0", "26.1.3", "26.2.0", "26.70.0-alpha-2", "27.0.0-alpha-5", "27.0.0-alpha-6", "27.0.0-beta-1", "27.0.0-rc-1", "27.0.0", "2026.0.5", "v2026.1.1", "2026.1.26", "2026.1.26.1", "2026.3.4"]
