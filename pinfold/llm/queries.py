@@ -88,6 +88,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p1_groups": p1_groups, "p1_classes": p1_classes, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_budget": p5_budget, "p6_ranking": p6_ranking, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_restored": p9_restored}
 
 
+# Brute force over every pair that shares a sequence of three words.
+P1_SQL = """
+WITH w AS (SELECT DISTINCT doc_id || '#' || ord AS id, regexp_extract_all(lower(body), '[a-z0-9_]+') AS w FROM chunk WHERE body IS NOT NULL),
+g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram FROM w WHERE len(w) >= 3),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM shared JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 5 * common >= 3 * (x.n + y.n - common)
+"""
+
 P4_SQL = """
 SELECT DISTINCT doc_id, ord FROM chunk WHERE (strlen(body) + 3) // 4 > 650
 """
@@ -123,4 +132,4 @@ FROM vec
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL, "p6_ranking": P6_SQL}
+    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p6_ranking": P6_SQL}
