@@ -363,12 +363,12 @@ def hardware_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("hardware_group", """
-SELECT p_brand, s_suppkey, count(DISTINCT p_partkey) AS parts, round(avg(p_retailprice), 4) AS price FROM (SELECT DISTINCT p_brand, p_partkey, p_retailprice, s_suppkey
+SELECT p_brand, s_suppkey, count(DISTINCT p_partkey) AS parts, round(avg(p_retailprice), 6) AS price FROM (SELECT DISTINCT p_brand, p_partkey, p_retailprice, s_suppkey
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey) GROUP BY ALL""")
 def hardware_group(spark: SparkSession, sf: str) -> DataFrame:
     li, p, s = (table(spark, sf, n) for n in ("lineitem", "part", "supplier"))
     rows = li.select("l_partkey", "l_suppkey").distinct().join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.groupBy("p_brand", "s_suppkey").agg(F.count("p_partkey").alias("parts"), F.round(F.avg("p_retailprice"), 4).alias("price"))
+    return rows.groupBy("p_brand", "s_suppkey").agg(F.count("p_partkey").alias("parts"), F.round(F.avg("p_retailprice"), 6).alias("price"))
 
 
 @register("diff_report", f"""
