@@ -95,7 +95,7 @@ def member_rules(mapped: DataFrame, used: DataFrame, rules: DataFrame, season: s
     members that the file (path, fqn) doesn't use itself, each once."""
     on = rules.filter(F.col("from_fqn").contains("#") & (F.col("from_season") >= season) & (F.col("to_season") <= target)).withColumn("fqn", F.substring_index("from_fqn", "#", 1))
     rows = mapped.filter(~F.col("fqn").contains("#")).select("path", "fqn").distinct().join(on, "fqn").select("path", "rule_id", "from_fqn", "to_fqn").distinct()
-    return rows.join(used.select("path", F.col("fqn").alias("from_fqn")), ["path", "from_fqn"], "left_anti")
+    return rows.join(used.select("path", F.col("fqn").alias("from_fqn")), ["path", "from_fqn"], "left_anti").select("path", "rule_id", "from_fqn", "to_fqn")
 
 
 def check_rules(rules: DataFrame, symbols: DataFrame, declared: DataFrame) -> DataFrame:
