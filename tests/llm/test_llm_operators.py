@@ -142,10 +142,9 @@ def test_bands_follow_from_the_recall():
     assert 1 - (1 - 0.6**4) ** b >= 0.99 > 1 - (1 - 0.6**4) ** (b - 1)
 
 
-def test_many_copies_come_out_as_a_star(spark, monkeypatch):
-    monkeypatch.setattr(nd, "COPIES", 5)
+def test_many_copies_come_out_as_a_star(spark):
     rows = [(f"c#{i}", "the very same words here") for i in range(9)] + [(f"d#{i}", "other words that are the same") for i in range(3)]
-    got = {tuple(r) for r in nd.duplicate_pairs(spark.createDataFrame(rows, "id string, body string"), "body").collect()}
+    got = {tuple(r) for r in nd.duplicate_pairs(spark.createDataFrame(rows, "id string, body string"), "body", copies=5).collect()}
     assert got == {("c#0", f"c#{i}") for i in range(1, 9)} | {("d#0", "d#1"), ("d#0", "d#2"), ("d#1", "d#2")}
 
 
