@@ -4,12 +4,18 @@ Texts with the same words in the same order form a class. One text of each class
 bands; classes that share a band's hash are candidates; a candidate pair is a link if the distinct n-grams of the two
 whole texts overlap enough. The number of bands follows from the similarity, the rows of a band and the recall wanted
 at exactly that similarity, above which the recall only grows.
+
+Texts made alike meet in a band now and then though they are far from similar, and such pairs grow with the square of the
+table. So each class carries the parities of its n-grams in a fixed number of cells: two classes differ in at most as many
+cells as they differ in n-grams, hence a pair that differs in more cells than the similarity allows is dropped where it
+meets. No similar pair is lost by it (unless 64-bit hashes of n-grams collide). Long texts fill all cells and pass.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pinfold.llm.pretokens import slices, string_buffers
-from pinfold.scratch import drop, materialize
+from pinfold.scratch import drop, materialize, release_shuffles
 from pinfold.session import ship
 
 WORD = re.compile("[a-z0-9_]+")
@@ -25,6 +31,10 @@ WORD = re.compile("[a-z0-9_]+")
 COPIES = 256
 #: Hashes of words that a worker remembers before it starts afresh; no result depends on it.
 REMEMBER = 1_000_000
+#: Numbers of 64 cells each that hold a text's parities; columns of the signatures.
+PARITIES = ("p0", "p1", "p2")
+#: Bands exchanged at a time, which bounds the disk that their rows take; no result depends on it.
+BANDS_AT_ONCE = 17
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -46,14 +56,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def sign(texts: list[str], memory: _Words, n: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places of the texts of at least n words, their 128-bit digests as two columns, their bands' hashes)."""
+def parities(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of distinct n-grams, the parities of their numbers in each cell as rows of int64) of texts of so many hashes each."""
+    cells = 64 * len(PARITIES)
+    low = np.uint64(64 - max(1, int(len(sizes)).bit_length()))
+    text = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    keys = np.sort(text << low | grams >> (np.uint64(64) - low))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    text = (keys >> low).astype(np.int64)
+    top = (keys & ((np.uint64(1) << low) - np.uint64(1))) >> (low - np.uint64(32))
+    cell = (top * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+    odd = (np.bincount(text * cells + cell, minlength=cells * len(sizes)) & 1).astype(np.uint8)
+    return np.bincount(text, minlength=len(sizes)), np.packbits(odd.reshape(len(sizes), cells), axis=1).view(np.int64)
+
+
+def sign(texts: list[str], memory: _Words, n: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the texts of at least n words, their 128-bit digests as two columns, their bands' hashes, their numbers of distinct n-grams, their parities)."""
     import xxhash
 
     found = [WORD.findall(t.lower()) for t in texts]
     own = [i for i, w in enumerate(found) if len(w) >= n]
     if not own:
-        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros((0, bands), np.int64)
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros((0, bands), np.int64), np.zeros(0, np.int64), np.zeros((0, len(PARITIES)), np.int64)
     sizes = np.array([len(found[i]) for i in own])
     flat = np.fromiter((memory[w] for i in own for w in found[i]), np.uint64, int(sizes.sum()))
     ends = np.cumsum(sizes)
@@ -78,11 +102,11 @@ def sign(texts: list[str], memory: _Words, n: int, bands: int, rows: int) -> tup
             k = b * rows + r
             h = _mix(h * _M[1] + np.minimum.reduceat(grams * factors[k] + shifts[k], first))
         out[:, b] = h
-    return np.array(own), digest.view(np.int64), out.view(np.int64)
+    return np.array(own), digest.view(np.int64), out.view(np.int64), *parities(grams, sizes - n + 1)
 
 
 def signatures(df: DataFrame, text: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(id, raw, hi, lo, bands) of the rows (id, text) whose text has n words or more; ``raw`` tells an id's texts apart."""
+    """(id, raw, hi, lo, n, parities, bands) of the rows (id, text) whose text has n words or more; ``raw`` tells an id's texts apart."""
     ship(df.sparkSession)
 
     def run(batches):
@@ -93,12 +117,14 @@ def signatures(df: DataFrame, text: str, n: int, bands: int, rows: int) -> DataF
                 if len(memory) > REMEMBER:
                     memory.clear()
                 texts = batch.column(2).slice(a, b - a).to_pylist()
-                own, digest, hashes = sign(texts, memory, n, bands, rows)
+                own, digest, hashes, grams, odd = sign(texts, memory, n, bands, rows)
                 keys = [c.slice(a, b - a).take(pa.array(own)) for c in (batch.column(0), batch.column(1))]
                 each = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * bands), pa.array(hashes.ravel()))
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(np.ascontiguousarray(digest[:, 1])), each], ["id", "raw", "hi", "lo", "bands"])
+                numbers = [pa.array(np.ascontiguousarray(c)) for c in (*digest.T, grams.astype(np.int32), *odd.T)]
+                yield pa.RecordBatch.from_arrays([*keys, *numbers, each], ["id", "raw", "hi", "lo", "n", *PARITIES, "bands"])
 
-    return _texts(df, text).select("id", "raw", "text").mapInArrow(run, "id string, raw bigint, hi bigint, lo bigint, bands array<bigint>")
+    schema = f"id string, raw bigint, hi bigint, lo bigint, n int, {', '.join(f'{p} bigint' for p in PARITIES)}, bands array<bigint>"
+    return _texts(df, text).select("id", "raw", "text").mapInArrow(run, schema)
 
 
 def _texts(df: DataFrame, text: str) -> DataFrame:
@@ -110,6 +136,28 @@ def gram_set(text: str, n: int) -> set:
     return set(zip(*(w[k:] for k in range(n))))
 
 
+def candidates(signed: DataFrame, similarity: tuple[int, int], bands: int, count: int) -> DataFrame:
+    """(ca, cb), ca < cb: the classes that share a band's hash and that their sizes and parities let be similar enough."""
+    num, den = similarity
+    met = []
+    for at in range(0, bands, BANDS_AT_ONCE):
+        some = min(BANDS_AT_ONCE, bands - at)
+        classes = signed.groupBy("hi", "lo").agg(F.first(F.struct("n", *PARITIES, F.slice("bands", at + 1, some).alias("bands"))).alias("one"))
+        hashes = classes.select(F.col("hi").alias("c"), "one.n", *(f"one.{p}" for p in PARITIES), F.explode("one.bands").alias("b"))
+        apart = " + ".join(f"bit_count(x.{p} ^ y.{p})" for p in PARITIES)
+        # J >= num/den means: |A - B| + |B - A| <= (den - num) / (den + num) * (|A| + |B|)
+        near = f"{den + num}L * ({apart}) <= {den - num}L * (x.n + y.n) AND {den}L * least(x.n, y.n) >= {num}L * greatest(x.n, y.n)"
+        # one exchange serves both sides; hot hashes are split by the adaptive skew join
+        meet = hashes.alias("x").join(hashes.alias("y"), F.expr(f"x.b = y.b AND x.c < y.c AND {near}"))
+        shuffled = 2 * (20 + 8 * len(PARITIES)) * some * count  # both sides read a hash, a class, its size and parities for every band
+        met.append(materialize(meet.select(F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct(), "met", shuffled))
+        release_shuffles(signed.sparkSession)
+    pairs = materialize(reduce(DataFrame.unionByName, met).distinct(), "candidates", 16 * bands * count // 4)
+    for m in met:
+        drop(m)
+    return pairs
+
+
 def links(df: DataFrame, text: str, similarity: tuple[int, int] = (3, 5), n: int = 3, rows: int = 4, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
     """(members, links) of rows (id, text).
 
@@ -121,16 +169,13 @@ def links(df: DataFrame, text: str, similarity: tuple[int, int] = (3, 5), n: int
     bands = bands_for(num / den, rows, recall)
     signed = materialize(signatures(df, text, n, bands, rows), "signatures")
     members = signed.select("id", "hi", "lo").distinct()
-    shuffled = 2 * 16 * bands * signed.count()  # both sides of the self-join read a hash and a class for every band
-    classes = signed.groupBy("hi", "lo").agg(F.first("bands").alias("bands"))
-    hashes = classes.select(F.col("hi").alias("c"), F.explode("bands").alias("b"))
-    # one exchange serves both sides; hot hashes are split by the adaptive skew join
-    meet = hashes.alias("x").join(hashes.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.c") < F.col("y.c")))
-    pairs = materialize(meet.select(F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct(), "candidates", shuffled)
+    count = signed.count()
+    pairs, shuffled = candidates(signed, similarity, bands, count), 2 * 16 * bands * count
     wanted = pairs.select(F.explode(F.array("ca", "cb")).alias("hi")).distinct()
     chosen = signed.select("id", "raw", "hi", "lo").join(wanted, "hi", "left_semi").groupBy("hi", "lo").agg(F.min(F.struct("id", "raw")).alias("one")).select("hi", "lo", "one.*")
     # an id may have several texts, so the class's own is told by its hash; a row delivered twice offers it twice
     texts = materialize(_texts(df, text).join(chosen, ["id", "raw"]).groupBy("hi", "lo").agg(F.max("text").alias("text")), "texts", shuffled // 4)
+    release_shuffles(df.sparkSession)
     a = texts.select(F.col("hi").alias("ca"), F.col("lo").alias("lo_a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("hi").alias("cb"), F.col("lo").alias("lo_b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "ca").join(b, "cb").select(F.col("ca").alias("hi_a"), "lo_a", F.col("cb").alias("hi_b"), "lo_b", "text_a", "text_b")

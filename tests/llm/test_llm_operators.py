@@ -286,6 +286,40 @@ def test_classes_and_pairs_of_many_copies(spark):
     assert nd.duplicate_classes(df.limit(0), "body").count() == 0
 
 
+def test_texts_made_alike_are_dropped_where_they_meet(spark, monkeypatch):
+    """They share a fifth of their n-grams, meet in some band and grew with the square of the table."""
+    rng = random.Random(5)
+    frame = WORDS[:42]
+    rows = [(f"t{i}", " ".join(frame + [f"{rng.randrange(10**6)}" for _ in range(60)])) for i in range(300)]
+    rows += [(i + "+", body + " more") for i, body in rows[:20]]
+    written = {}
+    write = nd.materialize
+
+    def counted(df, name, *how):
+        written[name] = write(df, name, *how)
+        return written[name]
+
+    monkeypatch.setattr(nd, "materialize", counted)
+    got = {tuple(r) for r in nd.duplicate_pairs(spark.createDataFrame(rows, "id string, body string"), "body").collect()}
+    assert got == {(f"t{i}", f"t{i}+") for i in range(20)}
+    assert written["candidates"].count() < 60
+
+
+def test_parities_differ_in_no_more_cells_than_the_texts_in_grams():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 400, np.uint64) * np.uint64(2)
+    sets = [rng.choice(pool, int(k), replace=True) for k in rng.integers(1, 300, 60)]
+    sizes = np.array([len(x) for x in sets])
+    n, odd = nd.parities(np.concatenate(sets), sizes)
+    assert n.tolist() == [len({*x.tolist()}) for x in sets]
+    alone = [nd.parities(x, np.array([len(x)])) for x in sets]  # the other texts of a slice don't matter
+    assert [x[0] for x, _ in alone] == n.tolist() and all((p[0] == q).all() for (_, p), q in zip(alone, odd))
+    for i, x in enumerate(sets):
+        for k, y in enumerate(sets):
+            differ = sum(int(v).bit_count() for v in (odd[i] ^ odd[k]).view(np.uint64))
+            assert differ <= len({*x.tolist()} ^ {*y.tolist()}) and (i != k or differ == 0)
+
+
 # ---- garbled text (problem 9)
 
 CLEAN = [
