@@ -76,3 +76,25 @@ def test_the_best_are_those_of_every_score(spark):
 def test_a_batch_moves_only_the_best(spark, sf):
     plan = e.queries()["bm25_batch"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_lanes_and_names():
+    assert [S.by_season(("2026", "java"), x) for x in (("2026", "java"), ("2025", "any"), (None, "java"), ("2026", "cpp"), ("2026", None))] == [0, 1, None, None, None]
+    assert S.by_season((None, "java"), ("2026", "java")) is None and S.by_season(("2026", None), ("2025", None)) == 1 and S.by_season(("2026", "any"), ("2026", "cpp")) == 0
+
+
+def test_a_name_of_many_items_gives_its_first(spark):
+    named = spark.createDataFrame([("a", "get", f"d{i:03}", 0) for i in range(200)] * 2 + [("b", "get", "d001", 0), ("a", "set", "d005", 0)], "season string, name string, doc_id string, ord int")
+    visible = spark.createDataFrame([(f"d{i:03}", 0, "a") for i in range(3, 200)] + [("d300", 0, None)], "doc_id string, ord int, season string")
+    got = sorted(tuple(r) for r in S.first_named(named, visible, ["doc_id", "ord"], 4).select("season", "name", "doc_id").collect())
+    assert got == [("a", "get", f"d{i:03}") for i in range(3, 7)] + [("a", "set", "d005")]
+
+
+def test_pages_move_only_the_best(spark, sf, monkeypatch):
+    from pinfold.queries import search as Q
+
+    plans, write = [], Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    last = e.queries()["search_pages"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plans[0] and "body" not in plans[0]
+    assert "BroadcastHashJoin [h#" in last  # texts of the wanted chunks only
