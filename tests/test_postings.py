@@ -98,3 +98,8 @@ def test_pages_move_only_the_best(spark, sf, monkeypatch):
     last = e.queries()["search_pages"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plans[0] and "body" not in plans[0]
     assert "BroadcastHashJoin [h#" in last  # texts of the wanted chunks only
+
+
+def test_a_search_moves_only_the_best(spark, sf):
+    plan = e.queries()["search_batch"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "idf" not in plan
